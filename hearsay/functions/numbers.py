@@ -37,6 +37,11 @@ def avg_confidence(name: str) -> Column:
     return F.round(F.avg(confidence(name)), 3).cast("double")
 
 
+def exact_avg_confidence(name: str) -> Column:
+    """Average confidence, not rounded."""
+    return F.try_divide(F.sum(confidence(name)).cast("double"), F.count(name))
+
+
 def total(value: str) -> Column:
     """Sum that is zero on empty input."""
     return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.functions.numbers import avg_confidence, avg_to, confidence, percent, ratio_to
+from hearsay.functions.numbers import (
+    avg_confidence, avg_to, confidence, exact_avg_confidence, percent, ratio_to,
+)
 from hearsay.functions.text import metric_key
 
 SENTIMENTS = ("positive", "negative", "neutral")
@@ -218,7 +220,7 @@ def sentiment_heatmap(gold: DataFrame) -> DataFrame:
 
 def emotion_by_subreddit(gold: DataFrame) -> DataFrame:
     """Posts and average confidence per subreddit and emotion."""
-    average = F.avg(confidence("emotion_confidence")).cast("double")
+    average = exact_avg_confidence("emotion_confidence")
     return (
         gold.groupBy("subreddit", "emotion")
         .agg(_rows().alias("count"), average.alias("avg_confidence"))
