@@ -420,6 +420,12 @@ first AS (
   SELECT id, author, subreddit, title, score FROM silver ORDER BY id LIMIT 5"""),
         "sample_labelled_posts": (gold, f"""
   SELECT id, title, score, {labels} FROM gold ORDER BY id LIMIT 10"""),
+        "stream_dedup": (bronze, """
+  SELECT DISTINCT * EXCLUDE (score, load_date) FROM bronze"""),
+        "stream_silver": (silver, "SELECT * FROM silver"),
+        "stream_daily": (gold + f",\nmart AS ({DAILY_MART})", """
+  SELECT post_date, total_posts, positive_posts, negative_posts, neutral_posts, avg_comments,
+    avg_sentiment_confidence, avg_emotion_confidence, avg_topic_confidence FROM mart"""),
     }
 
 

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearsay.checks import streams
 from hearsay.checks.tone import tone_scorer
 from hearsay.functions.filters import on_day, safe_only
 from hearsay.operators import explore as ex
@@ -249,7 +250,11 @@ def _batch_queries() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return _batch_queries()
+    return _batch_queries() | {
+        "stream_dedup": streams.stream_dedup,
+        "stream_silver": streams.stream_silver,
+        "stream_daily": streams.stream_daily,
+    }
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

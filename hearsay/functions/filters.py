@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALL_SUBREDDITS = "All Subreddits"
@@ -16,6 +16,12 @@ def epoch(day: date) -> int:
     return int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp())
 
 
+def utc_date(seconds: Column) -> Column:
+    """UTC date of an epoch second, whatever the session's time zone."""
+    days = F.floor(seconds / F.lit(86400)).cast("int")
+    return F.date_add(F.lit(date(1970, 1, 1)), days)
+
+
 def safe_only(df: DataFrame) -> DataFrame:
     """Drop posts marked ``over_18``; an unknown mark counts as safe."""
     return df.where(F.col("over_18").isNull() | ~F.col("over_18"))

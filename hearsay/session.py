@@ -44,3 +44,20 @@ def shared_scratch(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="hearsay-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a path exist in whatever file system its scheme names?"""
+    files, jvm_path = _file_system(spark, path)
+    return files.exists(jvm_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package wrote, if it is there."""
+    files, jvm_path = _file_system(spark, path)
+    files.delete(jvm_path, True)
