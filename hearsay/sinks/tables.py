@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,6 +13,7 @@ from hearsay.config import Settings
 from hearsay.sources.tables import Progress, layer_exists, read_layer
 
 DAY_COLUMN = "load_day"
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def ensure_namespace(spark: SparkSession, settings: Settings) -> None:
@@ -20,6 +22,18 @@ def ensure_namespace(spark: SparkSession, settings: Settings) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {settings.namespace} COMMENT '{comment}'")
 
 
+@contextmanager
+def _only_partitions_written(spark: SparkSession) -> Iterator[None]:
+    """Let an overwrite replace just the partitions it writes. ``insertInto`` takes this from
+    the session and ignores it as a writer option."""
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
+
+
 def write_days(df: DataFrame, settings: Settings) -> None:
     """Write bronze rows that carry ``load_day``, replacing the days they hold and no others.
 
@@ -33,10 +47,8 @@ def write_days(df: DataFrame, settings: Settings) -> None:
         rows.write.partitionBy(DAY_COLUMN).format("parquet").saveAsTable(table)
         return
     stored = spark.table(table).columns
-    (
-        rows.select(*stored).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").insertInto(table)
-    )
+    with _only_partitions_written(spark):
+        rows.select(*stored).write.insertInto(table, overwrite=True)
 
 
 def write_day(df: DataFrame, settings: Settings, day: date) -> None:
