@@ -1,0 +1,182 @@
+"""Word-list and model scorers."""
+
+import math
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from hearsay.scoring import LexiconScorer, ModelScorer, enrich, rescore_changed
+from hearsay.scoring.english import default_scorers, topic_scorer
+from hearsay.scoring.labels import EMOTION_LABELS, SENTIMENT_LABELS, TOPIC_LABELS
+from hearsay.scoring.model import score_batch
+from hearsay.sources.sample_posts import prose_scorers, sample_posts
+
+
+def _posts(spark, texts):
+    rows = [(str(i), t, b) for i, (t, b) in enumerate(texts)]
+    return spark.createDataFrame(rows, "id string, title string, selftext string")
+
+
+def _labels(df, *columns):
+    return [tuple(r) for r in df.orderBy(F.col("id").cast("int")).select(*columns).collect()]
+
+
+def test_label_sets():
+    sentiment, emotion, topic = default_scorers()
+    assert sentiment.labels == SENTIMENT_LABELS
+    assert emotion.labels == EMOTION_LABELS
+    assert topic.labels == TOPIC_LABELS and len(TOPIC_LABELS) == 15
+
+
+def test_english_words(spark):
+    df = _posts(spark, [
+        ("I LOVE this, what a wonderful day!", None),
+        ("Terrible, horrible service", "it is broken and useless"),
+        ("My guitar", "The band released a new album; best song ever"),
+        ("A quiet street", ""),
+    ])
+    out = enrich(df, default_scorers())
+    assert out.columns == ["id", "title", "selftext", "sentiment", "sentiment_confidence",
+                           "emotion", "emotion_confidence", "topic", "topic_confidence"]
+    got = _labels(out, "sentiment", "emotion", "topic")
+    assert got[0][:2] == ("positive", "joy")
+    assert got[1][0] == "negative"
+    assert got[2][::2] == ("positive", "Entertainment & Media")
+    assert got[3][:2] == ("neutral", "neutral")
+
+
+def test_blank_texts_fall_back(spark):
+    df = _posts(spark, [(None, None), ("", " "), ("\n", "\t")])
+    out = enrich(df, default_scorers())
+    for row in out.collect():
+        assert (row.sentiment, row.sentiment_confidence) == ("neutral", 0.0)
+        assert (row.emotion, row.emotion_confidence) == ("neutral", 0.0)
+        assert (row.topic, row.topic_confidence) == ("uncategorized", 0.0)
+
+
+def test_confidence_is_the_softmax_of_the_best(spark):
+    s = LexiconScorer("mood", {"up": ("yes",), "down": ("no",)}, "none", sharpness=2.0)
+    df = _posts(spark, [("yes yes no", None), ("no yes", None), ("maybe", None)])
+    got = _labels(enrich(df, [s]), "mood", "mood_confidence")
+    best = math.exp(4 / 3) / (math.exp(4 / 3) + math.exp(2 / 3))
+    assert got == [("up", round(best, 6)), ("up", 0.5), ("up", 0.5)]
+
+
+def test_whole_texts_are_read_unless_a_window_is_set(spark):
+    long = "filler " * 5000 + "no"
+    df = _posts(spark, [(long, None)])
+    words = {"up": ("yes",), "down": ("no",)}
+    whole = LexiconScorer("whole", words, "none")
+    tokens = LexiconScorer("tokens", words, "none", max_tokens=512)
+    chars = LexiconScorer("chars", words, "none", max_chars=512)
+    got = _labels(enrich(df, [whole, tokens, chars]), "whole", "tokens", "chars")
+    assert got == [("down", "up", "up")]
+
+
+def test_words_are_matched_whole_and_in_any_script(spark):
+    s = LexiconScorer("mood", {"other": (), "up": ("été", "art")}, "none")
+    df = _posts(spark, [("L'ÉTÉ!", None), ("party", None), ("art", None), ("art_deco", None)])
+    assert [x for x, in _labels(enrich(df, [s]), "mood")] == ["up", "other", "up", "up"]
+
+
+def test_topics_are_a_parameter(spark):
+    s = topic_scorer(("Sports", "Gaming"))
+    df = _posts(spark, [("a console game for every gamer", None), ("nothing", None)])
+    assert [x for x, in _labels(enrich(df, [s]), "topic")] == ["Gaming", "Sports"]
+    with pytest.raises(ValueError):
+        topic_scorer(("Sports", "Astrology"))
+
+
+def test_labels_stay_in_their_domain(spark, sf_dir):
+    out = enrich(sample_posts(spark, sf_dir), prose_scorers())
+    for name, labels, fallback in (("sentiment", SENTIMENT_LABELS, "neutral"),
+                                   ("emotion", EMOTION_LABELS, "neutral"),
+                                   ("topic", TOPIC_LABELS, "uncategorized")):
+        odd = out.where(~F.col(name).isin(*labels, fallback)).count()
+        sure = F.col(f"{name}_confidence")
+        low = 1 / len(labels) - 1e-6
+        outside = out.where((sure != 0) & ~sure.between(low, 1)).count()
+        unsure = out.where((sure == 0) & (F.col(name) != fallback)).count()
+        assert (odd, outside, unsure) == (0, 0, 0)
+
+
+def _length_model():
+    def predict(texts):
+        return [("long" if len(t) > 5 else "short", 0.5) for t in texts]
+    return predict
+
+
+LENGTH = ModelScorer("size", ("short", "long"), "none", _length_model)
+
+
+def test_model_and_word_lists_together(spark):
+    df = _posts(spark, [("love", "it so much"), ("hi", None), (None, None)])
+    out = enrich(df, [LENGTH, default_scorers()[0]], keep_errors=True, partitions=3)
+    got = _labels(out, "size", "size_confidence", "size_error", "sentiment")
+    assert got == [("long", 0.5, None, "positive"), ("short", 0.5, None, "neutral"),
+                   ("none", 0.0, None, "neutral")]
+
+
+def test_model_input_window(spark):
+    df = _posts(spark, [("a rather long title", None)])
+    cut = ModelScorer("size", ("short", "long"), "none", _length_model, max_chars=5)
+    assert _labels(enrich(df, [cut]), "size") == [("short",)]
+
+
+def test_batches_and_error_isolation():
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("cannot read")
+        return [("fine", 0.9)] * len(texts)
+
+    texts = pd.Series(["a", None, "b", "bad", " ", "c", "d"])
+    out = score_batch(texts, predict, "none", 3)
+    assert list(out.label) == ["fine", "none", "fine", "none", "none", "fine", "fine"]
+    assert list(out.confidence) == [0.9, 0.0, 0.9, 0.0, 0.0, 0.9, 0.9]
+    assert [e for e in out.error if e] == ["ValueError: cannot read"]
+    assert calls == [3, 1, 1, 1, 2]
+
+
+def test_wrong_number_of_results_is_an_error():
+    out = score_batch(pd.Series(["a", "b"]), lambda texts: [("x", 1.0)] * 3, "none", 8)
+    assert list(out.label) == ["none", "none"]
+    assert all("3 results" in e for e in out.error)
+
+
+def test_model_is_loaded_once_per_task(spark, tmp_path):
+    log = str(tmp_path)
+
+    def load():
+        import uuid
+        open(f"{log}/{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [("x", 1.0)] * len(texts)
+
+    df = spark.range(2000, numPartitions=2).select(
+        F.col("id").cast("string").alias("id"), F.lit("t").alias("title"),
+        F.lit("b").alias("selftext"))
+    scored = enrich(df, [ModelScorer("m", ("x",), "none", load)])
+    assert scored.where("m = 'x'").count() == 2000
+    assert len(list(tmp_path.iterdir())) <= 2
+
+
+def test_unchanged_posts_keep_their_labels(spark):
+    silver = _posts(spark, [("love it", None), ("hate it", None), ("love it", "a lot")])
+    scorer = default_scorers()[0]
+    gold = enrich(silver, [scorer]).withColumns({
+        "sentiment": F.concat(F.lit("old "), F.col("sentiment"))})
+    changed = silver.withColumn(
+        "selftext", F.when(F.col("id") == "2", "but I hate the awful rest")
+        .otherwise(F.col("selftext"))
+    ).unionByName(_posts(spark, [("x", "x")] * 3 + [("great", None)]).where("id = '3'"))
+    out = rescore_changed(changed, gold, [scorer])
+    assert _labels(out, "sentiment") == [
+        ("old positive",), ("old negative",), ("negative",), ("positive",)]
+    assert out.columns == [*silver.columns, "sentiment", "sentiment_confidence"]
+    again = rescore_changed(changed, gold, [LENGTH.__class__(
+        "sentiment", ("x",), "none", lambda: lambda t: [("new", 1.0)] * len(t))])
+    assert _labels(again, "sentiment") == [
+        ("old positive",), ("old negative",), ("new",), ("new",)]
