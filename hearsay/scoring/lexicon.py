@@ -10,7 +10,7 @@ Shares make long and short texts comparable, so whole texts are read by default.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -81,54 +81,67 @@ def hits_column(window: tuple[int | None, int | None]) -> str:
 
 
 def score_lexicons(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
-    """Add ``<name>``, ``<name>_confidence`` and ``<name>_error`` for every scorer.
-
-    Each step is its own projection, because the next one uses its result several times.
-    """
+    """Add ``<name>``, ``<name>_confidence`` and ``<name>_error`` for every scorer."""
     keep = df.columns
     out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), scorers, text)
     out = out.withColumns({
-        f"_hits_{s.name}": _only(F.col(hits_column(s.window)), s.vocabulary) for s in scorers
-    })
-    out = out.withColumns({f"_counts_{s.name}": _counts(s) for s in scorers})
-    out = out.withColumns({f"_logits_{s.name}": _logits(s) for s in scorers})
-    out = out.withColumns({
-        f"_top_{s.name}": F.array_max(F.col(f"_logits_{s.name}")) for s in scorers
+        f"_scored_{s.name}": F.when(
+            F.col("_blank"),
+            F.struct(F.lit(s.fallback).alias("label"), F.lit(0.0).alias("confidence")),
+        ).otherwise(_scored(s, F.col(hits_column(s.window))))
+        for s in scorers
     })
     results = []
     for s in scorers:
-        blank = F.col("_blank")
         results += [
-            F.when(blank, F.lit(s.fallback)).otherwise(_best_label(s)).alias(s.name),
-            F.when(blank, F.lit(0.0)).otherwise(_softmax_of_best(s))
-            .alias(f"{s.name}_confidence"),
+            F.col(f"_scored_{s.name}.label").alias(s.name),
+            F.col(f"_scored_{s.name}.confidence").alias(f"{s.name}_confidence"),
             F.lit(None).cast("string").alias(f"{s.name}_error"),
         ]
     return out.select(*keep, *results)
 
 
-def _counts(s: LexiconScorer) -> Column:
-    hits = F.col(f"_hits_{s.name}")
-    return F.array(*[
-        F.size(_only(hits, own)) for own in s.words.values()
-    ])
-
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it.
 
-def _logits(s: LexiconScorer) -> Column:
-    counts = [F.col(f"_counts_{s.name}")[i] for i in range(len(s.labels))]
-    matched = F.greatest(sum(counts[1:], counts[0]), F.lit(1))
-    return F.array(*[
-        F.lit(float(s.bias.get(label, 0.0))) + F.lit(s.sharpness) * count / matched
-        for label, count in zip(s.labels, counts)
-    ])
-
-
-def _best_label(s: LexiconScorer) -> Column:
-    position = F.array_position(F.col(f"_logits_{s.name}"), F.col(f"_top_{s.name}"))
-    return F.element_at(F.array(*[F.lit(x) for x in s.labels]), position.cast("int"))
-
-
-def _softmax_of_best(s: LexiconScorer) -> Column:
-    top = F.col(f"_top_{s.name}")
-    terms = [F.exp(F.col(f"_logits_{s.name}")[i] - top) for i in range(len(s.labels))]
-    return F.round(F.lit(1.0) / sum(terms[1:], terms[0]), CONFIDENCE_PLACES)
+    Steps in columns of their own would do the same until somebody filters on a label: pushing
+    that filter down pastes every step into every mention of it, which multiplies.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scored(s: LexiconScorer, hits: Column) -> Column:
+    """Struct of label and confidence."""
+    return _bind(
+        _only(hits, s.vocabulary),
+        lambda own: _bind(
+            _counts(s, own),
+            lambda counts: _bind(
+                _logits(s, counts),
+                lambda logits: _bind(F.array_max(logits), lambda top: _best(s, logits, top)),
+            ),
+        ),
+    )
+
+
+def _counts(s: LexiconScorer, hits: Column) -> Column:
+    return F.array(*[F.size(_only(hits, own)) for own in s.words.values()])
+
+
+def _logits(s: LexiconScorer, counts: Column) -> Column:
+    each = [counts[i] for i in range(len(s.labels))]
+    matched = F.greatest(sum(each[1:], each[0]), F.lit(1))
+    biases = [F.lit(float(s.bias.get(label, 0.0))) for label in s.labels]
+    return _bind(
+        matched,
+        lambda m: F.array(*[b + F.lit(s.sharpness) * n / m for b, n in zip(biases, each)]),
+    )
+
+
+def _best(s: LexiconScorer, logits: Column, top: Column) -> Column:
+    """First label with the largest logit, and its softmax."""
+    names = F.array(*[F.lit(x) for x in s.labels])
+    terms = [F.exp(logits[i] - top) for i in range(len(s.labels))]
+    softmax = F.round(F.lit(1.0) / sum(terms[1:], terms[0]), CONFIDENCE_PLACES)
+    label = F.element_at(names, F.array_position(logits, top).cast("int"))
+    return F.struct(label.alias("label"), softmax.alias("confidence"))
