@@ -70,11 +70,15 @@ def posts_from(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Posts of any frame of events, batch or streaming. One scan of each table.
 
     Texts are spread by ``doc_id``: a small file is one large row group, which would leave all
-    later work on its texts to one task. A sort-merge join needs the same exchange anyway.
+    later work on its texts to one task. A sort-merge join needs the same exchange anyway. The
+    number of partitions is the configured one: left to itself, adaptive execution would merge
+    partitions by their size before the join multiplies the texts.
     """
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number_of_documents = documents.agg(F.count(F.lit(1))).scalar()
     posts = events.withColumn("doc_id", F.col("event_id") % number_of_documents).join(
-        documents.select("doc_id", "text", "lang", "source").repartition("doc_id"), "doc_id"
+        documents.select("doc_id", "text", "lang", "source").repartition(partitions, "doc_id"),
+        "doc_id",
     )
     event, user = F.col("event_id"), F.col("user_id")
     named = F.concat(F.lit("robot_"), user.cast("string"))
