@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,8 @@ _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")  # str.split() breaks here, the toke
 _RARE = regex.compile("[^\\x00-\u024f\u2010-\u2027]")
 #: Most characters of distinct words that one merge array holds.
 ARRAY = 1 << 21
+#: Distinct chunks whose ids a worker keeps.
+KEPT = 400_000
 
 
 def default_file() -> str:
@@ -73,6 +76,7 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"]
                      if p["type"] == "Split")
         self.split = regex.compile(split)
+        self.known: dict[str | int, bytes] = {}
         self.byte_of = {s: b for b, s in enumerate(signs)}
         library = Tokenizer.from_file(path)
         self.normalize, self.pre = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -155,38 +159,26 @@ class WordBpe:
         return hit & ((at - start) % 2 == 1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text; the ids of distinct chunks are kept for the texts to come."""
         rows = [self.chunks(t) for t in texts]
-        known: dict[str | int, int] = {}
-        codes = [np.fromiter((known.setdefault(c, len(known)) for c in r), "i8", len(r)) for r in rows]
-        pieces, words = [], {}
-        for chunk in known:
-            if isinstance(chunk, str):
-                pieces.append([words.setdefault(w, len(words)) for w in self.words(chunk)])
-            else:
-                pieces.append(chunk)
-        ids = self.encode_words(list(words))
-        flat = [np.concatenate([ids[w] for w in p]) if isinstance(p, list) and len(p) > 1
-                else ids[p[0]] if isinstance(p, list) and p
-                else np.array([] if isinstance(p, list) else [p], "i8") for p in pieces]
-        size = np.fromiter(map(len, flat), "i8", len(flat))
-        pool = np.concatenate(flat) if flat else np.zeros(0, "i8")
-        start = np.cumsum(size) - size
-        return [_gather(pool, start[c], size[c]) for c in codes]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = list(set().union(*rows) - self.known.keys())
+        words: dict[bytes, int] = {}
+        parts = [c if isinstance(c, int) else [words.setdefault(w, len(words)) for w in self.words(c)]
+                 for c in new]
+        ids = [i.astype("<u4").tobytes() for i in self.encode_words(list(words))]
+        for chunk, part in zip(new, parts):
+            self.known[chunk] = (struct.pack("<I", part) if isinstance(part, int)
+                                 else b"".join(map(ids.__getitem__, part)))
+        find = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, r)), "<u4") for r in rows]
 
     def decode(self, ids: np.ndarray) -> str:
         """The file has no decoder: tokens are joined by spaces, word ends and all."""
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The pool's slices one after another, as unsigned 32-bit values."""
-    ends = np.cumsum(size)
-    if not len(ends):
-        return np.zeros(0, "<u4")
-    return pool[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].astype("<u4")
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """One encoder per worker process and file."""

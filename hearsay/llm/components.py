@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from hearsay.llm.common import stored
@@ -51,3 +52,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(moved.unionByName(least.select("a", F.col("m").alias("b"))))
+
+
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Union of the links (i, j) into ``label``, which maps each index to its root; for the
+    values inside one task."""
+    while len(i):
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            break
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, deeper := label[label]):
+            label = deeper
+    return label

@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.llm import bpe_rounds, code_language, pair_ranking, simhash_trie, split_tree
-from hearsay.llm.common import table
+from hearsay.llm import (
+    bpe_rounds, code_language, multi_index, pair_ranking, rans_ids, simhash_trie, split_tree, trie_counts, url_trees,
+)
+from hearsay.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_groups(table(spark, sf_dir, "documents"), words=3, budget=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -22,10 +32,19 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_ranking.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(rans_ids.segments(table(spark, sf_dir, "documents")), "token-segments")
+    return rans_ids.read_back(files)
+
+
 def op8_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rounds.digests(table(spark, sf_dir, "documents"))
 
@@ -38,7 +57,8 @@ def op9_split_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query per operator."""
-    found = [op3_simhash_trie, op4_quality_ranking, op6_language_codes, op8_bpe_rounds, op9_split_tree]
+    found = [op1_url_trees, op2_multi_index, op3_simhash_trie, op4_quality_ranking, op5_trie_counts, op6_language_codes,
+             op7_rans_ids, op8_bpe_rounds, op9_split_tree]
     return {f.__name__: f for f in found}
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.llm.common import slots, stored
-from hearsay.llm.components import components
+from hearsay.llm.components import components, merge_labels
 
 BITS, STEP = 64, 4
 SEED = 42
@@ -175,7 +175,7 @@ def link_forest(a: np.ndarray, b: np.ndarray, depth: int, err: int, budget: int
         if single.any():
             i, j = pairs[single, 0], pairs[single, 2]
             near = (np.bitwise_count(a[i] ^ b[j]) <= budget) & ~(same & (i == j))
-            label = _hook(label, i[near], j[near] + shift)
+            label = merge_labels(label, i[near], j[near] + shift)
             pairs = pairs[~single]
         if len(pairs):
             below = _descend(a, b, pairs, bit, budget, same)
@@ -209,20 +209,6 @@ def _middle(values, lo, hi, one) -> np.ndarray:
     return np.clip(np.searchsorted(values, split), lo, hi)
 
 
-def _hook(label, i, j) -> np.ndarray:
-    """Union of the links (i, j) into ``label``, which maps each index to its root."""
-    while len(i):
-        x, y = label[i], label[j]
-        apart = x != y
-        if not apart.any():
-            break
-        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(label, deeper := label[label]):
-            label = deeper
-    return label
-
-
 def near_groups(docs: DataFrame, words: int = 3, budget: int = 2, leaf_rows: int = 16384,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, fp, group) per row of ``docs``: fingerprint and smallest id it is linked to.
