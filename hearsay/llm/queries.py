@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearsay.llm import (
-    bpe_rounds, code_language, multi_index, pair_ranking, rans_ids, simhash_trie, split_tree, trie_counts, url_trees,
+    bpe_rounds, code_language, column_scan, multi_index, pair_ranking, rans_ids, simhash_trie, split_tree, trie_counts, url_trees,
 )
 from hearsay.llm.common import stored, table
 
@@ -55,10 +55,14 @@ def op9_split_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
+def op10_column_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_scan.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     found = [op1_url_trees, op2_multi_index, op3_simhash_trie, op4_quality_ranking, op5_trie_counts, op6_language_codes,
-             op7_rans_ids, op8_bpe_rounds, op9_split_tree]
+             op7_rans_ids, op8_bpe_rounds, op9_split_tree, op10_column_scan]
     return {f.__name__: f for f in found}
 
 
