@@ -215,9 +215,9 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFram
     Rows with one id must have one source; the plan is joined back by id.
     """
     plan = mix_plan(docs, blocks, shards).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "draws").distinct()
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("draws").alias("_draws")).distinct()
     joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
-    rows = joined.select(*[docs[c] for c in docs.columns], F.posexplode("draws").alias("_copy", "_shard"))
+    rows = joined.select(*[docs[c] for c in docs.columns], F.posexplode("_draws").alias("_copy", "_shard"))
     return (rows.repartition(shards, "_shard")
             .sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED + 2), docs["doc_id"], F.col("_copy")))
             .select(*docs.columns))
