@@ -24,8 +24,8 @@ once AS (
     ' ' || source AS subreddit,
     CASE WHEN event_id % 50 = 7 THEN 'wow' || repeat('!', 12)
       WHEN event_id % 97 = 3 THEN NULL
-      ELSE substring(split_part(text, chr(10), 1), 1, 80) END AS title,
-    CASE WHEN event_type <> 'view' THEN text END AS selftext,
+      ELSE split_part(text, chr(10), 1) END AS title,
+    CASE WHEN event_id % 41 <> 5 THEN text END AS selftext,
     CAST(round(value * 1000) AS BIGINT) AS score,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS num_comments,
     ts AS created_at,
@@ -91,14 +91,17 @@ def _scored_columns(s: LexiconScorer) -> tuple[list[str], list[str], list[str]]:
     return counts, logits, results
 
 
-def _gold() -> str:
+FIRST_COPIES = SILVER.replace("load_date DESC, score DESC", "load_date, score")
+
+
+def _gold(silver: str = SILVER) -> str:
     scorers = prose_scorers()
     parts = [_scored_columns(s) for s in scorers]
     vocabulary = sorted({w for s in scorers for w in s.vocabulary})
     counts, logits, results = (
         ",\n    ".join(x for p in parts for x in p[i]) for i in range(3)
     )
-    return SILVER + f""",
+    return silver + f""",
 texts AS (
   SELECT *, coalesce(title, '') || ' ' || coalesce(selftext, '') AS txt FROM silver
 ),
@@ -118,6 +121,7 @@ gold AS (
 
 
 GOLD = _gold()
+FIRST_GOLD = _gold(FIRST_COPIES)
 
 
 def _avg(value: str, places: int) -> str:
@@ -264,6 +268,11 @@ def _page(where: str = "TRUE", by: str = "created_at") -> str:
   ORDER BY {by} DESC NULLS LAST, silver.id LIMIT {PAGE}"""
 
 
+def _placed(by: str) -> str:
+    return f"""
+  SELECT *, row_number() OVER (ORDER BY {by} DESC NULLS LAST, id) AS place FROM ({_page()})"""
+
+
 def _keys(kind: str) -> str:
     return f"""
   SELECT '{kind}_' || replace(replace({kind}, ' ', '_'), '&', 'and') || '_count' AS key,
@@ -411,8 +420,8 @@ first AS (
   SELECT DISTINCT subreddit FROM silver WHERE subreddit IS NOT NULL"""),
         "explore_recent": (silver, _page()),
         "explore_filtered": (silver, _page(f"{DAYS} AND {SUBS}")),
-        "explore_page_by_score": (silver, _page()),
-        "explore_page_by_comments": (silver, _page()),
+        "explore_page_by_score": (silver, _placed("score")),
+        "explore_page_by_comments": (silver, _placed("num_comments")),
         "explore_all_by_score": (silver, _page(by="score")),
         "confident_negative": (gold, confident),
         "confident_negative_top10": (gold, f"{confident} LIMIT 10"),
@@ -421,11 +430,10 @@ first AS (
         "sample_labelled_posts": (gold, f"""
   SELECT id, title, score, {labels} FROM gold ORDER BY id LIMIT 10"""),
         "stream_dedup": (bronze, """
-  SELECT DISTINCT * EXCLUDE (score, load_date) FROM bronze"""),
+  SELECT * FROM bronze
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY load_date, score) = 1"""),
         "stream_silver": (silver, "SELECT * FROM silver"),
-        "stream_daily": (gold + f",\nmart AS ({DAILY_MART})", """
-  SELECT post_date, total_posts, positive_posts, negative_posts, neutral_posts, avg_comments,
-    avg_sentiment_confidence, avg_emotion_confidence, avg_topic_confidence FROM mart"""),
+        "stream_daily": (FIRST_GOLD, DAILY_MART),
     }
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.checks import streams
 from hearsay.checks.tone import tone_scorer
-from hearsay.functions.filters import on_day, safe_only
+from hearsay.functions.filters import chosen, on_day, safe_only
 from hearsay.operators import explore as ex
 from hearsay.operators import marts as m
 from hearsay.operators import quality as q
@@ -49,10 +49,10 @@ def _silver(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return build_silver(_bronze(spark, sf), columns or None)
 
 
-def _gold(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def _gold(spark: SparkSession, sf: str, *columns: str, where=None) -> DataFrame:
     """Chosen gold columns with only the scorers they need."""
     scorers = [s for s in prose_scorers() if {s.name, f"{s.name}_confidence"} & set(columns)]
-    return label_then_dedup(_bronze(spark, sf), columns, scorers)
+    return label_then_dedup(_bronze(spark, sf), columns, scorers, where)
 
 
 def _day(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +68,21 @@ def _on_silver(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Que
     return lambda spark, sf: operator(_silver(spark, sf, *columns))
 
 
-def _on_gold(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
-    return lambda spark, sf: operator(_gold(spark, sf, *columns))
+def _on_gold(operator: Callable[[DataFrame], DataFrame], *columns: str, where=None) -> Query:
+    return lambda spark, sf: operator(_gold(spark, sf, *columns, where=where))
+
+
+def _ranked(page: DataFrame, by: str) -> DataFrame:
+    """A page with its order as a column; the window runs over the rows of one page."""
+    order = Window.orderBy(F.col(by).desc_nulls_last(), "id")
+    return page.withColumn("place", F.row_number().over(order))
+
+
+def _few_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """The first posts by id, chosen before they are scored."""
+    few = ex.sample_rows(_silver(spark, sf, "id", "title", "selftext", "score"),
+                         ("title", "selftext", "score"), 10)
+    return enrich(few, prose_scorers()).select("id", "title", "score", *LABEL_COLUMNS)
 
 
 def _cleaned(bronze: DataFrame) -> DataFrame:
@@ -209,26 +222,29 @@ def _batch_queries() -> dict[str, Query]:
         ),
         "dominant_sentiment": _on_gold(
             lambda g: ex.dominant_sentiment(g, FIRST, LAST),
-            "created_at", "subreddit", "sentiment",
+            "created_at", "subreddit", "sentiment", where=lambda b: chosen(b, FIRST, LAST),
         ),
         "sentiment_distribution": _on_gold(
             lambda g: ex.distribution(g, "sentiment", FIRST, LAST, SOME_SUBREDDITS),
             "created_at", "subreddit", "sentiment",
+            where=lambda b: chosen(b, FIRST, LAST, SOME_SUBREDDITS),
         ),
         "emotion_distribution": _on_gold(
             lambda g: ex.distribution(g, "emotion", FIRST, LAST, ["All Subreddits"], k=10),
-            "created_at", "subreddit", "emotion",
+            "created_at", "subreddit", "emotion", where=lambda b: chosen(b, FIRST, LAST),
         ),
         "topic_distribution": _on_gold(
             lambda g: ex.distribution(g, "topic", FIRST, LAST, k=10),
-            "created_at", "subreddit", "topic",
+            "created_at", "subreddit", "topic", where=lambda b: chosen(b, FIRST, LAST),
         ),
         "available_dates": _on_silver(ex.available_dates, "created_at"),
         "available_subreddits": _on_silver(ex.available_subreddits, "subreddit"),
         "explore_recent": _page(),
         "explore_filtered": _page(start=FIRST, end=LAST, subreddits=SOME_SUBREDDITS),
-        "explore_page_by_score": _page(sort="score"),
-        "explore_page_by_comments": _page(sort="comments"),
+        "explore_page_by_score": lambda spark, sf: _ranked(
+            _page(sort="score")(spark, sf), "score"),
+        "explore_page_by_comments": lambda spark, sf: _ranked(
+            _page(sort="comments")(spark, sf), "num_comments"),
         "explore_all_by_score": _page(sort="score", sort_scope="all"),
         "confident_negative": _on_gold(
             ex.confident_posts, "id", "title", "score", "sentiment", "sentiment_confidence"
@@ -241,10 +257,7 @@ def _batch_queries() -> dict[str, Query]:
             lambda s: ex.sample_rows(s, ("author", "subreddit", "title", "score"), 5),
             "id", "author", "subreddit", "title", "score",
         ),
-        "sample_labelled_posts": _on_gold(
-            lambda g: ex.sample_rows(g, ("title", "score", *LABEL_COLUMNS), 10),
-            "id", "title", "score", *LABEL_COLUMNS,
-        ),
+        "sample_labelled_posts": _few_labelled,
     }
 
 

@@ -29,7 +29,7 @@ class Settings:
     comment: str = "Daily top posts, cleaned, labelled and summarised"
     posts_per_day: int = 100
     start: date = date(2024, 7, 1)
-    retain_months: bool = False
+    retain_months: bool = True
 
     def table(self, name: str) -> str:
         """Qualified table name of a layer or a mart."""

@@ -22,6 +22,18 @@ def utc_date(seconds: Column) -> Column:
     return F.date_add(F.lit(date(1970, 1, 1)), days)
 
 
+def post_date() -> Column:
+    """UTC date of a post. ``created_utc`` gives it without asking for a time zone, whichever
+    timestamp type ``created_at`` has."""
+    return utc_date(F.col("created_utc"))
+
+
+def day_of(df: DataFrame) -> Column:
+    """Post date of a frame's rows: in UTC where it has ``created_utc``, else the date of
+    ``created_at`` as it stands."""
+    return post_date() if "created_utc" in df.columns else F.to_date("created_at")
+
+
 def safe_only(df: DataFrame) -> DataFrame:
     """Drop posts marked ``over_18``; an unknown mark counts as safe."""
     return df.where(F.col("over_18").isNull() | ~F.col("over_18"))
@@ -40,14 +52,34 @@ def on_day(df: DataFrame, day: date) -> DataFrame:
 
 def between_days(df: DataFrame, start: date | None, end: date | None) -> DataFrame:
     """Posts whose ``created_at`` date lies in ``[start, end]``; None leaves a side open."""
-    day = F.to_date("created_at")
-    if start is not None:
-        df = df.where(day >= F.lit(start))
-    if end is not None:
-        df = df.where(day <= F.lit(end))
+    df = df.where(chosen(df, start, end))
+    if "post_date" in df.columns:  # a layer partitioned by post date is also pruned by it
+        df = df.where(_between(F.col("post_date"), start, end))
     return df
 
 
+def _between(day: Column, start: date | None, end: date | None) -> Column:
+    from_start = F.lit(True) if start is None else day >= F.lit(start)
+    return from_start if end is None else from_start & (day <= F.lit(end))
+
+
+def chosen(
+    df: DataFrame, start: date | None = None, end: date | None = None,
+    subreddits: Sequence[str] | None = None,
+) -> Column:
+    """The conditions of ``between_days`` and ``in_subreddits`` as one predicate, for steps that
+    spare the other rows some work but must keep them."""
+    if "created_utc" in df.columns:  # plain comparisons, which reach the scan
+        met, created = F.lit(True), F.col("created_utc")
+        met = met if start is None else met & (created >= epoch(start))
+        met = met if end is None else met & (created < epoch(end + timedelta(days=1)))
+    else:
+        met = _between(F.to_date("created_at"), start, end)
+    if subreddits and ALL_SUBREDDITS not in subreddits:
+        met = met & F.col("subreddit").isin(list(subreddits))
+    return met
+
+
 def in_subreddits(df: DataFrame, subreddits: Sequence[str] | None) -> DataFrame:
     """Keep the listed subreddits; an empty list, or one naming "All Subreddits", keeps all."""
     if not subreddits or ALL_SUBREDDITS in subreddits:

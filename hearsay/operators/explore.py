@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.functions.filters import between_days, confident, in_subreddits
+from hearsay.functions.filters import between_days, confident, day_of, in_subreddits
 from hearsay.functions.numbers import avg_to, total
 from hearsay.operators.topk import top_rows
 
@@ -53,7 +53,7 @@ def daily_trends(
     """Posts, score and comments per date, oldest first."""
     return (
         _chosen(posts, start, end, subreddits)
-        .groupBy(F.to_date("created_at").alias("date"))
+        .groupBy(day_of(posts).alias("date"))
         .agg(
             F.count(F.lit(1)).alias("posts"),
             F.sum("score").alias("total_score"),
@@ -116,8 +116,8 @@ def available_dates(posts: DataFrame, today: date | None = None) -> DataFrame:
     """First and last post date; the last thirty days when there are no posts."""
     now = F.current_date() if today is None else F.lit(today)
     return posts.agg(
-        F.coalesce(F.min(F.to_date("created_at")), F.date_sub(now, 30)).alias("min_date"),
-        F.coalesce(F.max(F.to_date("created_at")), now).alias("max_date"),
+        F.coalesce(F.min(day_of(posts)), F.date_sub(now, 30)).alias("min_date"),
+        F.coalesce(F.max(day_of(posts)), now).alias("max_date"),
     )
 
 
@@ -149,7 +149,7 @@ def explore(
         raise ValueError(f"unknown sort scope: {sort_scope}")
     chosen = _chosen(posts, start, end, subreddits)
     columns = [
-        F.to_date("created_at").alias(c) if c == "post_date" else F.col(c) for c in PAGE_COLUMNS
+        day_of(chosen).alias(c) if c == "post_date" else F.col(c) for c in PAGE_COLUMNS
     ]
     recent = _largest_first("created_at")
     wanted = recent if sort == "recent" else _largest_first(PAGE_SORTS[sort])

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearsay.functions.filters import day_of
 from hearsay.functions.numbers import (
     avg_confidence, avg_to, confidence, exact_avg_confidence, percent, ratio_to,
 )
@@ -28,14 +29,14 @@ def _sentiment_counts(suffix: str) -> list[Column]:
     return [F.count_if(F.col("sentiment") == s).alias(f"{s}_{suffix}") for s in SENTIMENTS]
 
 
-def _post_date() -> Column:
-    return F.to_date("created_at").alias("post_date")
+def _post_date(df: DataFrame) -> Column:
+    return day_of(df).alias("post_date")
 
 
 def bronze_summary(df: DataFrame, days: int = 31) -> DataFrame:
     """Posts, scores, subreddits and authors per post date; the newest ``days`` dates."""
     return (
-        df.groupBy(_post_date())
+        df.groupBy(_post_date(df))
         .agg(
             _rows().alias("post_count"),
             F.min("score").alias("min_score"),
@@ -157,32 +158,44 @@ def emotion_analysis(gold: DataFrame) -> DataFrame:
     )
 
 
-def daily_metrics(gold: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def daily_metrics(gold: DataFrame) -> DataFrame:
     """Posts, sentiment mix, engagement, distinct counts and confidence per post date.
 
-    Exact distinct counts repeat each (narrow) row once per counted column before the map-side
-    reduction. ``exact_distinct=False`` swaps in sketches and needs one small shuffle only.
+    Posts are reduced to one row of sums per (date, subreddit, author) first; only these rows
+    are repeated for the two distinct counts. Topics go along as a set per row.
     """
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
-    return (
+    kinds = ("sentiment", "emotion", "topic")
+    sums = [F.sum(confidence(f"{k}_confidence")).alias(f"_{k}_sum") for k in kinds]
+    counts = [F.count(f"{k}_confidence").alias(f"_{k}_n") for k in kinds]
+    parts = (
         gold.where(F.col("created_at").isNotNull())
-        .groupBy(_post_date())
+        .groupBy(_post_date(gold), "subreddit", "author")
         .agg(
-            _rows().alias("total_posts"),
-            *_sentiment_counts("posts"),
-            avg_to("score", 2).alias("avg_score"),
-            F.max("score").alias("top_score"),
-            F.sum("score").alias("total_score"),
-            avg_to("num_comments", 2).alias("avg_comments"),
-            distinct("subreddit").alias("unique_subreddits"),
-            distinct("author").alias("unique_authors"),
-            distinct("topic").alias("unique_topics"),
-            avg_confidence("sentiment_confidence").alias("avg_sentiment_confidence"),
-            avg_confidence("emotion_confidence").alias("avg_emotion_confidence"),
-            avg_confidence("topic_confidence").alias("avg_topic_confidence"),
+            _rows().alias("_n"), *_sentiment_counts("posts"), *sums, *counts,
+            F.sum("score").alias("_score_sum"), F.count("score").alias("_score_n"),
+            F.max("score").alias("_score_max"), F.sum("num_comments").alias("_comments_sum"),
+            F.count("num_comments").alias("_comments_n"),
+            F.sort_array(F.collect_set("topic")).alias("_topics"),
         )
     )
 
+    def average(prefix: str, places: int) -> Column:
+        return ratio_to(F.sum(f"{prefix}_sum").cast("double"), F.sum(f"{prefix}_n"), places)
+
+    days = parts.groupBy("post_date").agg(
+        F.sum("_n").alias("total_posts"),
+        *[F.sum(f"{s}_posts").alias(f"{s}_posts") for s in SENTIMENTS],
+        average("_score", 2).alias("avg_score"),
+        F.max("_score_max").alias("top_score"),
+        F.sum("_score_sum").alias("total_score"),
+        average("_comments", 2).alias("avg_comments"),
+        F.count_distinct("subreddit").alias("unique_subreddits"),
+        F.count_distinct("author").alias("unique_authors"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_topics")))).cast("bigint").alias("unique_topics"),
+        *[average(f"_{k}", 3).alias(f"avg_{k}_confidence") for k in kinds],
+    )
+    return days
+
 
 def label_distribution(gold: DataFrame, kind: str) -> DataFrame:
     """Posts and average confidence per label of one kind (sentiment, emotion or topic)."""
@@ -231,7 +244,7 @@ def emotion_by_subreddit(gold: DataFrame) -> DataFrame:
 def topics_over_time(gold: DataFrame) -> DataFrame:
     """Posts per post date and topic, newest and largest first."""
     return (
-        gold.groupBy(F.to_date("created_at").alias("date"), "topic")
+        gold.groupBy(day_of(gold).alias("date"), "topic")
         .agg(_rows().alias("posts"))
         .orderBy(F.col("date").desc(), F.col("posts").desc(), "topic")
     )

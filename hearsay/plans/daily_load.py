@@ -16,7 +16,7 @@ from hearsay.functions.filters import on_day, on_days, safe_only, utc_date
 from hearsay.operators.clean import stamp_load
 from hearsay.operators.topk import top_per_group, top_rows
 from hearsay.sinks.tables import (
-    DAY_COLUMN, advance_progress, ensure_namespace, reset_month, write_day, write_days,
+    DAY_COLUMN, advance_progress, drop_empty_days, ensure_namespace, reset_month, write_day, write_days,
     write_progress,
 )
 from hearsay.sources.submissions import read_submissions
@@ -68,10 +68,11 @@ def run_range(
     spark: SparkSession, settings: Settings, root: str, last: date, layout: str = "path",
     at: datetime | None = None,
 ) -> Progress:
-    """Catch up from the state row to ``last`` in one job; the result equals daily runs.
+    """Catch up from the state row to ``last`` in one job: every day of the range is loaded.
 
-    Without ``retain_months`` only days of the last month survive daily runs, so only those
-    are loaded.
+    Without ``retain_months`` a range that begins a month, or spans several, first clears what
+    bronze holds from before it. Days of the range that came back empty lose the rows an earlier
+    run wrote for them, as with daily runs.
     """
     ensure_namespace(spark, settings)
     state = read_progress(spark, settings)
@@ -80,10 +81,11 @@ def run_range(
         return state
     if not settings.retain_months and (first.day == 1 or _months_differ(first, last)):
         reset_month(spark, settings)
-        first = max(first, last.replace(day=1))
     raw = read_submissions(spark, root, first, last, layout)
-    posts = stamp_load(top_posts_per_day(raw, first, last, settings.posts_per_day), at)
+    posts = stamp_load(top_posts_per_day(raw, first, last, settings.posts_per_day), at).persist()
     write_days(posts, settings)
+    drop_empty_days(spark, settings, posts, first, last)
+    posts.unpersist()
     following = Progress(last).after()
     write_progress(spark, settings, following)
     return following

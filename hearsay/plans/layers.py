@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from hearsay.operators.clean import flag_bots, standardize
 from hearsay.operators.dedup import dedup_latest
@@ -36,15 +36,20 @@ def build_gold(silver: DataFrame, scorers: Sequence[Scorer] | None = None) -> Da
 
 
 def label_then_dedup(
-    bronze: DataFrame, columns: Sequence[str], scorers: Sequence[Scorer] | None = None
+    bronze: DataFrame, columns: Sequence[str], scorers: Sequence[Scorer] | None = None,
+    where: Callable[[DataFrame], Column] | None = None,
 ) -> DataFrame:
     """Columns of gold straight from bronze, for summaries that need labels but not texts.
 
     A label depends on the row's own text only, so labelling and choosing the latest copy can
     swap places. Texts are then dropped in the map tasks and the shuffle carries labels, at the
     price of also scoring the copies that lose. With slow models use the stored gold layer.
+
+    A caller that keeps only some posts afterwards passes the same condition as ``where`` (a function of the cleaned frame): rows
+    outside it still compete for being the latest copy, but are not scored.
     """
     flagged = bronze.transform(standardize).transform(flag_bots)
-    labelled = enrich(flagged, scorers or default_scorers())
+    labelled = enrich(
+        flagged, scorers or default_scorers(), where=where(flagged) if where else None)
     needed = list(dict.fromkeys([*DEDUP_COLUMNS, *columns]))
     return dedup_latest(labelled.select(*needed)).select(*columns)

@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import combined_text
 from hearsay.scoring.lexicon import LexiconScorer, score_lexicons
-from hearsay.scoring.model import ModelScorer
+from hearsay.scoring.model import ModelScorer, score_models
 
 Scorer = LexiconScorer | ModelScorer
 
 
 def enrich(
     df: DataFrame, scorers: Sequence[Scorer], keep_errors: bool = False,
-    partitions: int | None = None,
+    partitions: int | None = None, where: Column | None = None,
 ) -> DataFrame:
     """All columns of ``df`` plus a label and a confidence per scorer.
 
     No shuffle, unless ``partitions`` spreads a frame that arrives in few large partitions
     before Python models see it. ``keep_errors`` also keeps ``<name>_error``, NULL where
-    scoring worked.
+    scoring worked. Rows that do not meet ``where`` get the labels of a blank text and cost no
+    scoring.
     """
     if partitions is not None:
         df = df.repartition(partitions)
-    return _scored(df.withColumn("_text", combined_text()), scorers, keep_errors).drop("_text")
+    text = combined_text() if where is None else F.when(where, combined_text())
+    return _scored(df.withColumn("_text", text), scorers, keep_errors).drop("_text")
 
 
 def _scored(df: DataFrame, scorers: Sequence[Scorer], keep_errors: bool) -> DataFrame:
@@ -35,9 +37,9 @@ def _scored(df: DataFrame, scorers: Sequence[Scorer], keep_errors: bool) -> Data
     models = [s for s in scorers if isinstance(s, ModelScorer)]
     out = score_lexicons(df, lexicons, "_text") if lexicons else df
     if models:
-        out = out.withColumns({f"_{m.name}": m.column(F.col("_text")) for m in models})
+        out = out.withColumn("_models", score_models(models, F.col("_text")))
         out = out.withColumns({
-            name: F.col(f"_{m.name}.{part}")
+            name: F.col(f"_models.{m.name}.{part}")
             for m in models
             for name, part in (
                 (m.name, "label"), (f"{m.name}_confidence", "confidence"),

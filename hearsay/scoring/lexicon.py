@@ -4,8 +4,7 @@ A text is split into lower-case words. Every label owns a list of words; its log
 plus ``sharpness`` times the share of matched words that are its own. The softmax over the
 logits gives the confidence, and the first label with the largest logit wins.
 
-Shares make long and short texts comparable, so whole texts are read by default.
-``max_tokens`` and ``max_chars`` exist for scorers that must mimic a model's input window.
+Shares make long and short texts comparable, so whole texts are read.
 """
 
 from __future__ import annotations
@@ -31,8 +30,6 @@ class LexiconScorer:
     fallback: str
     bias: Mapping[str, float] = field(default_factory=dict)
     sharpness: float = 4.0
-    max_tokens: int | None = None
-    max_chars: int | None = None
 
     @property
     def labels(self) -> tuple[str, ...]:
@@ -42,19 +39,6 @@ class LexiconScorer:
     def vocabulary(self) -> list[str]:
         return sorted({w for words in self.words.values() for w in words})
 
-    @property
-    def window(self) -> tuple[int | None, int | None]:
-        return self.max_chars, self.max_tokens
-
-
-def _tokens(text: Column, max_chars: int | None, max_tokens: int | None) -> Column:
-    if max_chars is not None:
-        text = F.substring(text, 1, max_chars)
-    words = F.split(F.lower(text), WORD_SEPARATOR)
-    if max_tokens is None:
-        return words
-    return F.slice(F.filter(words, lambda w: w != ""), 1, max_tokens)
-
 
 def _only(words: Column, wanted: Collection[str]) -> Column:
     """The words that are in ``wanted``, repeats included; planned as a hash set lookup."""
@@ -62,33 +46,26 @@ def _only(words: Column, wanted: Collection[str]) -> Column:
     return F.filter(words, lambda w: w.isin(known))
 
 
-def with_hits(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
-    """Add the words each input window shares with the scorers' vocabularies.
-
-    Scorers with the same window split the text once, and later steps see only the matches.
-    """
-    windows: dict[tuple, set[str]] = {}
-    for s in scorers:
-        windows.setdefault(s.window, set()).update(s.vocabulary)
-    return df.withColumns({
-        hits_column(window): _only(_tokens(F.col(text), *window), known)
-        for window, known in windows.items()
-    })
+HITS = "_hits"
 
 
-def hits_column(window: tuple[int | None, int | None]) -> str:
-    return "_hits_in_{}_{}".format(*window)
+def with_hits(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
+    """Add the words the text shares with any scorer's vocabulary. The text is split once for
+    all scorers, and later steps see only the matches."""
+    known = {w for s in scorers for w in s.vocabulary}
+    return df.withColumn(HITS, _only(F.split(F.lower(F.col(text)), WORD_SEPARATOR), known))
 
 
 def score_lexicons(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
-    """Add ``<name>``, ``<name>_confidence`` and ``<name>_error`` for every scorer."""
+    """Add ``<name>``, ``<name>_confidence`` and ``<name>_error`` for every scorer; all three are
+    those of a blank text where the text is NULL."""
     keep = df.columns
     out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), scorers, text)
     out = out.withColumns({
         f"_scored_{s.name}": F.when(
             F.col("_blank"),
             F.struct(F.lit(s.fallback).alias("label"), F.lit(0.0).alias("confidence")),
-        ).otherwise(_scored(s, F.col(hits_column(s.window))))
+        ).otherwise(_scored(s, F.col(HITS)))
         for s in scorers
     })
     results = []

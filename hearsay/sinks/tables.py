@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.config import Settings
+from hearsay.functions.filters import post_date
 from hearsay.sources.tables import Progress, layer_exists, read_layer
 
 DAY_COLUMN = "load_day"
@@ -46,21 +47,50 @@ def write_days(df: DataFrame, settings: Settings) -> None:
     if not layer_exists(spark, settings, "bronze"):
         rows.write.partitionBy(DAY_COLUMN).format("parquet").saveAsTable(table)
         return
-    stored = spark.table(table).columns
+    _add_columns(spark, table, rows)
+    known = set(rows.columns)
+    aligned = [F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name)
+               for f in spark.table(table).schema]
     with _only_partitions_written(spark):
-        rows.select(*stored).write.insertInto(table, overwrite=True)
+        rows.select(*aligned).write.insertInto(table, overwrite=True)
+
+
+def _add_columns(spark: SparkSession, table: str, rows: DataFrame) -> None:
+    """Give the table the columns that turn up for the first time; older days read NULL."""
+    stored = set(spark.table(table).columns)
+    new = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in stored]
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
+        spark.catalog.refreshTable(table)
+
+
+def drop_empty_days(
+    spark: SparkSession, settings: Settings, rows: DataFrame, first: date, last: date
+) -> None:
+    """Remove the stored days of ``[first, last]`` for which ``rows`` holds nothing. Only dates
+    reach the driver."""
+    stored = read_layer(spark, settings, "bronze").select(DAY_COLUMN).distinct()
+    stored = stored.where(F.col(DAY_COLUMN).between(F.lit(first), F.lit(last)))
+    held = {r[0] for r in rows.select(DAY_COLUMN).distinct().collect()}
+    for (day,) in stored.collect():
+        if day not in held:
+            _drop_day(spark, settings, day)
+
+
+def _drop_day(spark: SparkSession, settings: Settings, day: date) -> None:
+    spark.sql(
+        f"ALTER TABLE {settings.table('bronze')} "
+        f"DROP IF EXISTS PARTITION ({DAY_COLUMN} = DATE '{day.isoformat()}')"
+    )
 
 
 def write_day(df: DataFrame, settings: Settings, day: date) -> None:
     """Write one day's rows; a day that came back empty on a rerun is removed."""
-    seen = Observation("rows")
-    rows = df.withColumn(DAY_COLUMN, F.lit(day)).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows = df.withColumn(DAY_COLUMN, F.lit(day)).persist()  # at most the posts of one day's top-k
     write_days(rows, settings)
-    if not seen.get["n"] and layer_exists(df.sparkSession, settings, "bronze"):
-        df.sparkSession.sql(
-            f"ALTER TABLE {settings.table('bronze')} "
-            f"DROP IF EXISTS PARTITION ({DAY_COLUMN} = DATE '{day.isoformat()}')"
-        )
+    if rows.isEmpty() and layer_exists(df.sparkSession, settings, "bronze"):
+        _drop_day(df.sparkSession, settings, day)
+    rows.unpersist()
 
 
 def reset_month(spark: SparkSession, settings: Settings) -> None:
@@ -94,7 +124,7 @@ def laid_out(
     splits a value that holds a large share of all rows over many files.
     """
     if by_post_date:
-        df = df.withColumn("post_date", F.to_date("created_at"))
+        df = df.withColumn("post_date", post_date())
     days = ["post_date"] if by_post_date else []
     if cluster_by:
         keys = [F.col(c) for c in (*days, *cluster_by, "id")]

@@ -93,8 +93,8 @@ def posts_from(events: DataFrame, documents: DataFrame) -> DataFrame:
         F.concat(F.lit(" "), F.col("source")).alias("subreddit"),
         F.when(event % 50 == 7, F.lit("wow" + "!" * 12))
         .when(event % 97 == 3, F.lit(None).cast("string"))
-        .otherwise(F.substring(F.substring_index("text", "\n", 1), 1, 80)).alias("title"),
-        F.when(kind != "view", F.col("text")).alias("selftext"),
+        .otherwise(F.substring_index("text", "\n", 1)).alias("title"),
+        F.when(event % 41 != 5, F.col("text")).alias("selftext"),
         F.round(F.col("value") * 1000).cast("bigint").alias("score"),
         F.get_json_object("props", "$.k").cast("bigint").alias("num_comments"),
         F.col("ts").alias("created_at"),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from hearsay.session import path_exists
+
 # The columns later steps touch. Raw files may hold more; they are kept when no schema is given.
 SUBMISSION_SCHEMA = t.StructType([
     t.StructField("id", t.StringType()),
@@ -40,12 +42,19 @@ def read_submissions(
 
     ``layout="path"`` reads ``root/YYYY/MM``; ``layout="hive"`` reads ``root/year=…/month=…``
     and leaves the choice of folders to partition pruning. Either way no other month is read.
+    Without a schema the columns of all months are read, NULL where a month lacks one. A month
+    that is not there holds no posts; only a missing root is an error.
     """
     months = months_between(first, last or first)
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     base = root.rstrip("/")
     if layout == "path":
-        return reader.parquet(*[f"{base}/{y}/{m:02d}" for y, m in months])
+        if not path_exists(spark, base):
+            raise FileNotFoundError(base)
+        there = [p for p in (f"{base}/{y}/{m:02d}" for y, m in months) if path_exists(spark, p)]
+        if not there:
+            return spark.createDataFrame([], schema or SUBMISSION_SCHEMA)
+        return reader.parquet(*there)
     if layout != "hive":
         raise ValueError(f"unknown layout: {layout}")
     wanted = [(F.col("year") == y) & (F.col("month") == m) for y, m in months]

@@ -5,6 +5,7 @@ from datetime import date, datetime, timezone
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hearsay.functions.filters import epoch
 from hearsay.plans.daily_load import run_day, run_range
@@ -79,7 +80,7 @@ def test_state_starts_at_the_configured_day(spark, settings):
 
 
 def test_daily_runs_over_a_month_end(spark, settings, root):
-    s = _small(settings)
+    s = _small(settings, retain_months=False)
     seen = []
     for _ in range(5):
         run_day(spark, s, root, at=AT)
@@ -107,13 +108,12 @@ def test_same_day_twice_leaves_the_same_table(spark, settings, root):
     assert sorted(map(tuple, read_layer(spark, s, "bronze").collect()), key=str) == before
 
 
-@pytest.mark.parametrize("retain", [False, True])
-def test_one_range_equals_daily_runs(spark, settings, root, retain):
-    daily = _small(settings, retain_months=retain)
+def test_one_range_equals_daily_runs(spark, settings, root):
+    daily = _small(settings)
     for _ in range(5):
         run_day(spark, daily, root, at=AT)
     expected = sorted(map(tuple, read_layer(spark, daily, "bronze").collect()), key=str)
-    once = _small(settings, namespace=settings.namespace + "_r", retain_months=retain)
+    once = _small(settings, namespace=settings.namespace + "_r")
     run_range(spark, once, root, date(2024, 8, 2), at=AT)
     found = read_layer(spark, once, "bronze")
     order = read_layer(spark, daily, "bronze").columns
@@ -123,6 +123,47 @@ def test_one_range_equals_daily_runs(spark, settings, root, retain):
     spark.sql(f"DROP DATABASE {once.namespace} CASCADE")
 
 
+@pytest.mark.parametrize("retain", [False, True])
+def test_catching_up_loads_every_day(spark, settings, root, retain):
+    s = _small(settings, retain_months=retain)
+    run_day(spark, s, root, at=AT)
+    write_progress(spark, s, Progress(date(2024, 7, 29)))
+    assert run_range(spark, s, root, date(2024, 9, 1), at=AT) == Progress(date(2024, 9, 2))
+    assert _days(spark, s) == {date(2024, 7, 29): 5, date(2024, 7, 31): 5,
+                               date(2024, 8, 1): 5, date(2024, 8, 2): 5}
+
+
+def test_range_removes_days_that_lost_their_posts(spark, settings, root, tmp_path):
+    s = _small(settings)
+    run_range(spark, s, root, date(2024, 7, 31), at=AT)
+    read_submissions(spark, root, date(2024, 7, 1)).where("id not like '2024-07-31%'").write.parquet(
+        f"{tmp_path}/less/2024/07")
+    write_progress(spark, s, Progress(date(2024, 7, 29)))
+    run_range(spark, s, f"{tmp_path}/less", date(2024, 7, 31), at=AT)
+    assert _days(spark, s) == {date(2024, 7, 29): 5}
+
+
+def test_columns_that_appear_later_are_kept(spark, settings, root, tmp_path):
+    read_submissions(spark, root, date(2024, 7, 1)).write.parquet(f"{tmp_path}/new/2024/07")
+    read_submissions(spark, root, date(2024, 8, 1)).withColumn("awards", F.lit(3)).drop("url").write.parquet(
+        f"{tmp_path}/new/2024/08")
+    s = _small(settings)
+    for _ in range(4):
+        run_day(spark, s, f"{tmp_path}/new", at=AT)
+    rows = read_layer(spark, s, "bronze").groupBy("load_day").agg(
+        F.count("awards").alias("awards"), F.count("url").alias("urls")).collect()
+    assert {r.load_day.month: (r.awards, r.urls) for r in rows} == {7: (0, 5), 8: (5, 0)}
+    both = read_submissions(spark, f"{tmp_path}/new", date(2024, 7, 1), date(2024, 8, 1))
+    assert "awards" in both.columns and "url" in both.columns
+
+
+def test_absent_months_hold_no_posts(spark, root):
+    assert read_submissions(spark, root, date(2024, 7, 1), date(2024, 12, 1)).count() == 84
+    assert read_submissions(spark, root, date(2023, 1, 1)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_submissions(spark, root + "-none", date(2024, 7, 1))
+
+
 def test_rerun_of_a_day_that_lost_its_posts(spark, settings, root, tmp_path):
     s = _small(settings)
     run_day(spark, s, root, at=AT)

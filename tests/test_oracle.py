@@ -3,14 +3,18 @@
 import pytest
 
 import __spark_entry__ as contract
+from hearsay.checks.oracles import oracle_sql
+from hearsay.checks.queries import queries
 from tests.compare import duck_rows, spark_rows
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = queries()
+ORACLES = oracle_sql()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -7,6 +7,7 @@ import pytest
 from hearsay.checks.queries import FIRST, LAST, queries
 from hearsay.functions.filters import between_days, on_day, safe_only
 from hearsay.scoring import enrich
+from hearsay.sinks.tables import laid_out
 from hearsay.sources.sample_posts import prose_scorers, sample_posts
 
 BATCH = sorted(n for n in queries() if not n.startswith("stream"))
@@ -54,7 +55,7 @@ def test_filters_reach_the_scan(spark, tmp_path, sf_dir):
     posts = spark.read.parquet(path)
     days = _plan(between_days(posts, FIRST, LAST).select("id"))
     pushed = days.split("PushedFilters:")[1]
-    assert "GreaterThanOrEqual(created_at" in pushed and "LessThan(created_at" in pushed
+    assert "GreaterThanOrEqual(created_utc" in pushed and "LessThan(created_utc" in pushed
     safe = _plan(posts.transform(safe_only).transform(on_day, FIRST).select("id"))
     pushed = safe.split("PushedFilters:")[1]
     assert "IsNotNull(created_utc)" in pushed and "IsNull(over_18)" in pushed
@@ -80,3 +81,16 @@ def test_small_groups_are_all_that_is_gathered(spark, sf_dir):
     gathered = plan.split("Exchange SinglePartition")
     assert len(gathered) >= 2
     assert "HashAggregate(keys=[emotion" in gathered[1]
+
+
+def test_days_prune_a_layer_by_post_date(spark, tmp_path, sf_dir):
+    path = f"{tmp_path}/gold"
+    laid_out(sample_posts(spark, sf_dir), by_post_date=True).write.partitionBy("post_date").parquet(path)
+    plan = _plan(between_days(spark.read.parquet(path), FIRST, LAST).select("id"))
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "post_date" in filters
+
+
+def test_posts_outside_the_days_are_not_scored(spark, sf_dir):
+    plan = _plan(queries()["dominant_sentiment"](spark, sf_dir))
+    assert "THEN concat_ws(" in plan

@@ -63,15 +63,10 @@ def test_confidence_is_the_softmax_of_the_best(spark):
     assert got == [("up", round(best, 6)), ("up", 0.5), ("up", 0.5)]
 
 
-def test_whole_texts_are_read_unless_a_window_is_set(spark):
-    long = "filler " * 5000 + "no"
-    df = _posts(spark, [(long, None)])
-    words = {"up": ("yes",), "down": ("no",)}
-    whole = LexiconScorer("whole", words, "none")
-    tokens = LexiconScorer("tokens", words, "none", max_tokens=512)
-    chars = LexiconScorer("chars", words, "none", max_chars=512)
-    got = _labels(enrich(df, [whole, tokens, chars]), "whole", "tokens", "chars")
-    assert got == [("down", "up", "up")]
+def test_whole_texts_are_read(spark):
+    df = _posts(spark, [("filler " * 5000 + "no", None)])
+    whole = LexiconScorer("whole", {"up": ("yes",), "down": ("no",)}, "none")
+    assert _labels(enrich(df, [whole]), "whole") == [("down",)]
 
 
 def test_words_are_matched_whole_and_in_any_script(spark):
@@ -118,10 +113,29 @@ def test_model_and_word_lists_together(spark):
                    ("none", 0.0, None, "neutral")]
 
 
-def test_model_input_window(spark):
-    df = _posts(spark, [("a rather long title", None)])
-    cut = ModelScorer("size", ("short", "long"), "none", _length_model, max_chars=5)
-    assert _labels(enrich(df, [cut]), "size") == [("short",)]
+def test_model_window_covers_the_whole_text(spark):
+    df = _posts(spark, [("a rather long title with the word at its end", None), ("tiny", None)])
+    scorer = ModelScorer("size", ("short", "long"), "none", _length_model, window=8)
+    assert _labels(enrich(df, [scorer]), "size") == [("long",), ("short",)]
+
+    def last(texts):
+        return [("end" if "end" in t else "rest", 0.9 if "end" in t else 0.1) for t in texts]
+
+    text = pd.Series(["x" * 40 + "end"])
+    assert list(score_batch(text, last, "none", 2, window=10).label) == ["end"]
+
+
+def test_rows_outside_the_condition_are_not_scored(spark):
+    df = _posts(spark, [("love", None), ("love", None)])
+    out = enrich(df, [LENGTH, default_scorers()[0]], where=F.col("id") == "1")
+    assert _labels(out, "size", "sentiment") == [("none", "neutral"), ("short", "positive")]
+
+
+def test_models_share_one_python_node(spark):
+    other = ModelScorer("again", ("x",), "none", lambda: lambda t: [("x", 1.0)] * len(t))
+    df = enrich(_posts(spark, [("a", "b")]), [LENGTH, other])
+    assert _labels(df, "size", "again") == [("short", "x")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_batches_and_error_isolation():
@@ -147,20 +161,22 @@ def test_wrong_number_of_results_is_an_error():
     assert all("3 results" in e for e in out.error)
 
 
-def test_model_is_loaded_once_per_task(spark, tmp_path):
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
     log = str(tmp_path)
 
     def load():
+        import os
         import uuid
-        open(f"{log}/{uuid.uuid4().hex}", "w").close()
+        open(f"{log}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
         return lambda texts: [("x", 1.0)] * len(texts)
 
-    df = spark.range(2000, numPartitions=2).select(
+    df = spark.range(2000, numPartitions=40).select(
         F.col("id").cast("string").alias("id"), F.lit("t").alias("title"),
         F.lit("b").alias("selftext"))
     scored = enrich(df, [ModelScorer("m", ("x",), "none", load)])
     assert scored.where("m = 'x'").count() == 2000
-    assert len(list(tmp_path.iterdir())) <= 2
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads))
 
 
 def test_unchanged_posts_keep_their_labels(spark):

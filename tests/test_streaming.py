@@ -1,7 +1,5 @@
 """Streaming queries in several micro-batches, restarted, and with late records."""
 
-from datetime import datetime, timedelta
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,65 +62,62 @@ def test_replayed_batch_restores_a_torn_copy(spark, sf_dir, arrivals):
     assert spark_rows(spark.read.parquet(f"{base}/out2")) == expected
 
 
-@pytest.mark.parametrize("salts", [1, 16])
-def test_first_per_post_over_three_batches(spark, sf_dir, arrivals, salts):
-    base = shared_scratch(spark, "first")
-    stream = sp.first_per_post(_stream(spark, arrivals), "60 days", salts)
-    query = (
-        stream.writeStream.format("parquet").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
-    _run(query)
-    kept = spark.read.parquet(f"{base}/out")
-    assert kept.count() == kept.select("id").distinct().count() == 1000
+def test_empty_batches_change_nothing(spark, sf_dir):
+    base = shared_scratch(spark, "empty")
+    posts = sample_posts(spark, sf_dir)
+    none = posts.limit(0)
+    for n, batch in enumerate([none, posts, none, none]):
+        sp.merge_latest(batch, n, f"{base}/out", f"{base}/staging")
+        sp.append_first(batch, f"{base}/first")
+    expected = spark_rows(build_silver(posts))
+    assert spark_rows(spark.read.parquet(f"{base}/out").drop("post_date")) == expected
+    assert spark.read.parquet(f"{base}/first").count() == 1000
 
 
-def test_restarted_ingest_adds_nothing(spark, arrivals):
-    base = shared_scratch(spark, "restart")
-    for _ in range(2):
-        _run(sp.start_ingest(_stream(spark, arrivals), f"{base}/out", f"{base}/state"))
+def test_posts_without_a_date_are_merged(spark, sf_dir):
+    base = shared_scratch(spark, "undated")
+    posts = sample_posts(spark, sf_dir).withColumn("created_utc", F.lit(None).cast("bigint"))
+    for n in range(2):
+        sp.merge_latest(posts, n, f"{base}/out", f"{base}/staging")
+        sp.append_first(posts, f"{base}/first")
     assert spark.read.parquet(f"{base}/out").count() == 1000
+    assert spark.read.parquet(f"{base}/first").count() == 1000
+
+
+def test_newest_first_files_lose_nothing(spark, tmp_path, sf_dir):
+    """One file per batch, the newest posts first."""
+    posts = sample_posts(spark, sf_dir).where("CAST(id AS BIGINT) < 302")
+    for n in range(3):
+        posts.where(F.day("created_at").between(31 - 10 * (n + 1), 31 - 10 * n)).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
+    stream = sp.read_posts(spark, f"{tmp_path}/in", posts.schema, files_per_batch=1)
+    _run(sp.start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state"))
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert kept.count() == kept.select("id").distinct().count() == 302
+
+
+def test_restarted_ingest_adds_nothing(spark, sf_dir, arrivals):
+    base = shared_scratch(spark, "restart")
+    for state in ("a", "a", "b"):  # the last run replays every batch
+        _run(sp.start_ingest(_stream(spark, arrivals), f"{base}/out", f"{base}/state-{state}"))
+    kept = spark.read.parquet(f"{base}/out").drop("post_date")
+    first = sample_posts(spark, sf_dir).where("to_date(load_date) = to_date(created_at) + 1")
+    assert spark_rows(kept) == spark_rows(first)
 
 
 def test_daily_equals_the_batch_mart(spark, sf_dir, arrivals):
     base = shared_scratch(spark, "daily")
-    once = "CAST(id AS BIGINT) % 10 <> 0 OR to_date(load_date) = to_date(created_at) + 1"
-    gold = enrich(_stream(spark, arrivals).where(once), prose_scorers())
-    _run(sp.start_daily(gold, f"{base}/out", f"{base}/state"))
-    batch = daily_metrics(
-        enrich(sample_posts(spark, sf_dir).where(once), prose_scorers()), exact_distinct=False)
+    stream = _stream(spark, arrivals)
+    _run(sp.start_ingest(stream, f"{base}/posts", f"{base}/ingest"))
+    stored = spark.read.parquet(f"{base}/posts")
+    posts = sp.read_posts(spark, f"{base}/posts", stored.schema, files_per_batch=5)
+    _run(sp.start_daily(posts, f"{base}/posts", f"{base}/out", f"{base}/state",
+                        lambda p: enrich(p, prose_scorers())))
+    batch = daily_metrics(enrich(stored, prose_scorers()))
     found = spark.read.parquet(f"{base}/out").select(*batch.columns)
     assert spark_rows(found) == spark_rows(batch)
 
 
-def test_late_records_are_left_out(spark, tmp_path):
-    schema = ("id string, created_utc bigint, created_at timestamp, subreddit string,"
-              "author string, score bigint, num_comments bigint, sentiment string,"
-              "sentiment_confidence double, emotion_confidence double, topic string,"
-              "topic_confidence double")
-
-    def rows(*days):
-        out = []
-        for n, d in enumerate(days):
-            at = datetime(2024, 1, 1, 12) + timedelta(days=d)
-            seconds = 1704110400 + d * 86400
-            out.append((f"{d}-{n}", seconds, at, "s", "a", 1, 1, "positive", 0.5, 0.5, "t", 0.5))
-        return spark.createDataFrame(out, schema).coalesce(1)
-
-    base = str(tmp_path)
-
-    def load():
-        gold = sp.read_posts(spark, f"{base}/in", rows(0).schema, files_per_batch=1)
-        _run(sp.start_daily(gold, f"{base}/out", f"{base}/state", delay="2 days"))
-        found = spark.read.parquet(f"{base}/out").orderBy("post_date").collect()
-        return {str(r.post_date): r.total_posts for r in found}
-
-    rows(0, 0, 9).write.mode("append").parquet(f"{base}/in")
-    assert load() == {"2024-01-01": 2, "2024-01-10": 1}
-    rows(0, 8, 9).write.mode("append").parquet(f"{base}/in")
-    assert load() == {"2024-01-01": 2, "2024-01-09": 1, "2024-01-10": 2}
-
-
 def test_scratch_follows_the_cluster_setting(spark):
     assert shared_scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert shared_scratch(spark, "x") != shared_scratch(spark, "x")

@@ -64,7 +64,7 @@ def test_top_per_group_equals_sorting(spark, rows, k, fan_in):
     for g, s, i in rows:
         groups[g].append((-s if s is not None else 1, i))
     assert got == sorted((g, i) for g, v in groups.items() for _, i in sorted(v)[:k])
-    first = [r.id for r in top_rows(df, order, k, fan_in).collect()]
+    first = [r.id for r in top_rows(df, order, k).collect()]
     everything = sorted((-s if s is not None else 1, i) for _, s, i in rows)
     assert first == [i for _, i in everything[:k]]
 
@@ -94,3 +94,14 @@ def test_hot_id_sends_one_row_per_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     before, after = plan.split("Exchange hashpartitioning(id")
     assert "Final" in before and "Partial" in after
+
+
+def test_large_k_is_limited_before_the_shuffle(spark):
+    df = spark.range(0, 20000, numPartitions=8).select(
+        F.col("id"), (F.col("id") % 2).alias("day"), ((F.col("id") * 7919) % 30011).alias("score"))
+    order = [F.col("score").desc(), F.col("id").asc()]
+    top = top_per_group(df, ["day"], order, 2000)
+    assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    assert top.count() == 4000
+    hot = [r.id for r in top.where("day = 0").orderBy(*order).collect()]
+    assert hot == [r.id for r in df.where("day = 0").orderBy(*order).limit(2000).collect()]
