@@ -9,7 +9,7 @@ from __future__ import annotations
 from hearsay.checks.queries import FIRST, LAST, LOAD_DAY, PAGE, POSTS_PER_DAY, SOME_SUBREDDITS
 from hearsay.functions.text import BOT_PATTERN, STRICT_BOT_PATTERN
 from hearsay.scoring.lexicon import WORD_SEPARATOR, LexiconScorer
-from hearsay.sources.sample_posts import prose_scorers
+from hearsay.sources.sample_posts import language_scorers, prose_scorers, tone_of_documents
 from hearsay.sources.tables import STAGED_COLUMNS
 
 POSTS = r"""
@@ -65,17 +65,22 @@ def _listing(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
 
 
-def _scored_columns(s: LexiconScorer) -> tuple[list[str], list[str], list[str]]:
-    """Counts, logits and results of one word-list scorer, one SQL column each."""
+def _scored_columns(
+    s: LexiconScorer, allowed: str | None = None
+) -> tuple[list[str], list[str], list[str]]:
+    """Counts, logits and results of one word-list scorer, one SQL column each. ``allowed`` is a
+    condition on the label's number {i}; labels that fail it are out of the running."""
     n, size = s.name, len(s.labels)
+    use = [f"CASE WHEN {allowed.format(i=i)} THEN " if allowed else "" for i in range(size)]
     counts = [
-        f"len(list_filter(hits, lambda w: list_contains({_listing(words)}, w))) AS {n}_n{i}"
+        f"{use[i]}len(list_filter(hits, lambda w: list_contains({_listing(words)}, w))){' ELSE 0 END' if allowed else ''} AS {n}_n{i}"
         for i, words in enumerate(s.words.values())
     ]
     matched = "greatest(" + " + ".join(f"{n}_n{i}" for i in range(size)) + ", 1)"
     logits = [
-        f"{float(s.bias.get(label, 0.0))}::DOUBLE"
-        f" + ({float(s.sharpness)}::DOUBLE * {n}_n{i}) / {matched} AS {n}_l{i}"
+        f"{use[i]}{float(s.bias.get(label, 0.0))}::DOUBLE"
+        f" + ({float(s.sharpness)}::DOUBLE * {n}_n{i}) / {matched}"
+        f"{' ELSE -1e6::DOUBLE END' if allowed else ''} AS {n}_l{i}"
         for i, label in enumerate(s.labels)
     ]
     top = "greatest(" + ", ".join(f"{n}_l{i}" for i in range(size)) + ")"
@@ -94,9 +99,11 @@ def _scored_columns(s: LexiconScorer) -> tuple[list[str], list[str], list[str]]:
 FIRST_COPIES = SILVER.replace("load_date DESC, score DESC", "load_date, score")
 
 
-def _gold(silver: str = SILVER) -> str:
-    scorers = prose_scorers()
-    parts = [_scored_columns(s) for s in scorers]
+def _gold(silver: str = SILVER, columns=None, scorers=None, allowed: str | None = None) -> str:
+    """``silver`` with labels: a table ``gold`` of ``columns`` and the scorers' results."""
+    scorers = scorers or prose_scorers()
+    columns = columns or [c for c in STAGED_COLUMNS if not c.startswith(LABEL_NAMES)]
+    parts = [_scored_columns(s, allowed) for s in scorers]
     vocabulary = sorted({w for s in scorers for w in s.vocabulary})
     counts, logits, results = (
         ",\n    ".join(x for p in parts for x in p[i]) for i in range(3)
@@ -114,7 +121,7 @@ words AS (
 counted AS (SELECT *, {counts} FROM words),
 weighed AS (SELECT *, {logits} FROM counted),
 gold AS (
-  SELECT {", ".join(c for c in STAGED_COLUMNS if not c.startswith(LABEL_NAMES))},
+  SELECT {", ".join(columns)},
     {results}
   FROM weighed
 )"""
@@ -300,6 +307,31 @@ SELECT id,
 FROM marks"""
 
 
+TURNS = """
+silver AS (SELECT conv_id, role, text AS title, CAST(NULL AS VARCHAR) AS selftext FROM conversations)"""
+
+CONFUSION = _gold("""
+silver AS (SELECT doc_id, text AS title, CAST(NULL AS VARCHAR) AS selftext FROM documents)""",
+                  ["doc_id"], [tone_of_documents()]) + """,
+matrix AS (
+  SELECT CASE toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'clean' END AS truth, verdict AS predicted,
+    count(*) AS n
+  FROM gold JOIN labels USING (doc_id) WHERE toxic IN (0, 1) GROUP BY 1, 2
+)"""
+
+
+def _language_parts() -> list[str]:
+    """A SELECT per language with its own word lists."""
+    scorers, other = language_scorers()
+    tests = {f"lang = '{lang}'": s for lang, s in scorers.items()}
+    listed = ", ".join(f"'{lang}'" for lang in scorers)
+    tests[f"lang NOT IN ({listed}) OR lang IS NULL"] = other
+    silver = """
+silver AS (SELECT lang, text AS title, CAST(NULL AS VARCHAR) AS selftext FROM documents WHERE {})"""
+    return [f"(WITH {_gold(silver.format(test), ['lang'], [s])} SELECT * FROM gold)"
+            for test, s in tests.items()]
+
+
 def _after(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
@@ -394,6 +426,64 @@ def _bodies() -> dict[str, tuple[str, str]]:
                             "SELECT topic, post_count, avg_score FROM mart"),
         "daily_sentiment": (gold + f",\nmart AS ({DAILY_MART})", """
   SELECT post_date, positive_posts, negative_posts, neutral_posts FROM mart"""),
+        "subreddit_baseline": (gold + """,
+days AS (
+  SELECT subreddit, CAST(created_at AS DATE) AS post_date, count(*) AS posts,
+    CAST(count(*) FILTER (WHERE sentiment = 'positive')
+      - count(*) FILTER (WHERE sentiment = 'negative') AS DOUBLE) / count(*) AS share
+  FROM gold WHERE subreddit IS NOT NULL GROUP BY 1, 2
+),
+past AS (
+  SELECT *, avg(share) OVER w AS mean, stddev_samp(share) OVER w AS spread FROM days
+  WINDOW w AS (PARTITION BY subreddit ORDER BY post_date
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)""", """
+  SELECT subreddit, post_date, posts, round(share, 6) AS net, round(mean, 6) AS baseline,
+    CASE WHEN spread > 1e-9 THEN round((share - mean) / spread, 6) END AS deviation FROM past"""),
+        "emotion_trend": (gold + """,
+days AS (
+  SELECT CAST(created_at AS DATE) AS post_date, emotion, count(*) AS posts FROM gold
+  WHERE emotion IS NOT NULL GROUP BY 1, 2
+)""", """
+  SELECT post_date, emotion, posts,
+    posts - lag(posts) OVER (PARTITION BY emotion ORDER BY post_date) AS change,
+    round(CAST(sum(posts) OVER w AS DOUBLE) / count(posts) OVER w, 6) AS moving_average
+  FROM days
+  WINDOW w AS (PARTITION BY emotion ORDER BY post_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""),
+        "sentiment_alerts": (gold + f""",
+days AS (
+  SELECT CAST(created_at AS DATE) AS post_date, count(*) AS posts,
+    CAST({_n("sentiment = 'negative'")} AS DOUBLE) / count(*) AS share
+  FROM gold WHERE created_at IS NOT NULL GROUP BY 1
+),
+past AS (
+  SELECT *, avg(share) OVER w AS mean, stddev_samp(share) OVER w AS spread FROM days
+  WINDOW w AS (ORDER BY post_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+)""", """
+  SELECT post_date, posts, round(share, 6) AS negative_share, round(mean, 6) AS trailing_mean,
+    round(spread, 6) AS trailing_stddev,
+    coalesce(round(abs(share - mean) - 2.0::DOUBLE * spread, 6) > 0, FALSE) AS alert FROM past"""),
+        "conversation_sentiment": (_gold(TURNS, ["conv_id", "role"], prose_scorers()[:1]), f"""
+  SELECT conv_id, role, count(*) AS turns, {_feelings("turns")},
+    {_avg_confidence("sentiment_confidence")} AS avg_sentiment_confidence
+  FROM gold GROUP BY conv_id, role"""),
+        "lang_sentiment": ("parts AS (" + " UNION ALL ".join(_language_parts()) + ")", f"""
+  SELECT lang, sentiment, count(*) AS documents,
+    {_avg_confidence("sentiment_confidence")} AS avg_confidence
+  FROM parts GROUP BY lang, sentiment"""),
+        "confusion_matrix": (CONFUSION, "SELECT * FROM matrix"),
+        "scorer_quality": (CONFUSION, """
+  SELECT label, CAST(sum(n) FILTER (WHERE truth = label) AS BIGINT) AS support,
+    CAST(coalesce(sum(n) FILTER (WHERE truth = label AND predicted = label), 0) AS BIGINT) AS hits,
+    round(CAST(hits AS DOUBLE) / sum(n) FILTER (WHERE predicted = label), 6) AS precision,
+    round(CAST(hits AS DOUBLE) / support, 6) AS recall,
+    round(2.0::DOUBLE * hits / (support + sum(n) FILTER (WHERE predicted = label)), 6) AS f1
+  FROM matrix, (SELECT truth AS label FROM matrix UNION SELECT predicted FROM matrix)
+  GROUP BY label"""),
+        "subreddit_topics": (
+            _gold(SILVER, ["id", "subreddit"], prose_scorers()[2:],
+                  "(subreddit = 'src7' OR (CAST(substring(subreddit, 4) AS INTEGER) + {i}) % 3 <> 0)"),
+            "SELECT * FROM gold"),
         "kpis": (silver, KPI),
         "kpis_filtered": (silver, f"{KPI} WHERE {DAYS} AND {SUBS}"),
         "daily_trends": (silver, f"{TREND} GROUP BY 1"),

@@ -16,13 +16,18 @@ from hearsay.checks import streams
 from hearsay.checks.tone import tone_scorer
 from hearsay.functions.filters import chosen, on_day, safe_only
 from hearsay.operators import explore as ex
+from hearsay.operators import insights as ins
 from hearsay.operators import marts as m
 from hearsay.operators import quality as q
 from hearsay.operators.clean import flag_bots, flag_spam, standardize
 from hearsay.operators.topk import top_per_group, top_rows
 from hearsay.plans.layers import build_gold, build_silver, label_then_dedup
+from hearsay.functions.numbers import avg_confidence
 from hearsay.scoring import enrich
-from hearsay.sources.sample_posts import prose_scorers, sample_posts
+from hearsay.scoring.enrich import enrich_by_language, enrich_topics
+from hearsay.sources.sample_posts import (
+    language_scorers, prose_scorers, read_table, sample_posts, tone_of_documents,
+)
 from hearsay.sources.tables import stage_gold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +114,43 @@ def _model_scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _conversations(spark: SparkSession, sf: str) -> DataFrame:
+    turns = read_table(spark, sf, "conversations").select(
+        "conv_id", "role", F.col("text").alias("title"), F.lit(None).cast("string").alias("selftext"))
+    return ins.conversation_sentiment(enrich(turns, prose_scorers()[:1]))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").withColumns(
+        {"title": F.col("text"), "selftext": F.lit(None).cast("string")})
+
+
+def _by_language(spark: SparkSession, sf: str) -> DataFrame:
+    scored = enrich_by_language(_documents(spark, sf), "lang", *language_scorers())
+    return scored.groupBy("lang", "sentiment").agg(
+        F.count(F.lit(1)).alias("documents"), avg_confidence("sentiment_confidence").alias("avg_confidence"))
+
+
+def _confusion(spark: SparkSession, sf: str) -> DataFrame:
+    scored = enrich(_documents(spark, sf).select("doc_id", "title", "selftext"), [tone_of_documents()])
+    truth = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    marked = scored.join(read_table(spark, sf, "labels").select("doc_id", truth.alias("truth")), "doc_id")
+    return ins.confusion(marked, "truth", "verdict")
+
+
+def _subreddit_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic lists made of every label but those of one third of the numbers, by subreddit."""
+    topics = prose_scorers()[2]
+    names = read_table(spark, sf, "documents").select("source").distinct().where("source <> 'src7'")
+    number = F.expr("cast(substring(source, 4) as int)")
+    labels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("label"))
+                       for i, x in enumerate(topics.labels)])
+    choices = (names.select(F.col("source").alias("subreddit"), number.alias("number"), F.explode(labels).alias("t"))
+               .where("(number + t.i) % 3 <> 0").select("subreddit", "t.label"))
+    posts = _silver(spark, sf, "id", "subreddit", "title", "selftext")
+    return enrich_topics(posts, choices, topics).select("id", "subreddit", "topic", "topic_confidence")
+
+
 def _listed(mart: DataFrame) -> DataFrame:
     """Topic trends with the array written as text, which every result reader compares alike."""
     return mart.withColumn("related_subreddits", F.array_join("related_subreddits", ","))
@@ -208,6 +250,16 @@ def _batch_queries() -> dict[str, Query]:
         "daily_sentiment": _on_gold(
             lambda g: m.daily_sentiment(m.daily_metrics(g)), *DAILY_MART
         ),
+        # insights
+        "subreddit_baseline": _on_gold(
+            ins.subreddit_baseline, "subreddit", "created_at", "sentiment"),
+        "emotion_trend": _on_gold(ins.emotion_trend, "created_at", "emotion"),
+        "sentiment_alerts": _on_gold(ins.sentiment_alerts, "created_at", "sentiment"),
+        "conversation_sentiment": _conversations,
+        "lang_sentiment": _by_language,
+        "confusion_matrix": _confusion,
+        "scorer_quality": lambda spark, sf: ins.scorer_quality(_confusion(spark, sf)),
+        "subreddit_topics": _subreddit_topics,
         # exploration
         "kpis": _on_silver(ex.kpis, *KPI),
         "kpis_filtered": _on_silver(lambda s: ex.kpis(s, FIRST, LAST, SOME_SUBREDDITS), *KPI),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import combined_text
-from hearsay.scoring.lexicon import LexiconScorer, score_lexicons
+from hearsay.scoring.lexicon import (
+    LexiconScorer, score_allowed, score_by_value, score_lexicons,
+)
 from hearsay.scoring.model import ModelScorer, score_models
 
 Scorer = LexiconScorer | ModelScorer
@@ -52,6 +54,26 @@ def _scored(df: DataFrame, scorers: Sequence[Scorer], keep_errors: bool) -> Data
     return out.select(*columns, *added)
 
 
+def enrich_by_language(
+    df: DataFrame, lang: str, scorers: Mapping[str, LexiconScorer], other: LexiconScorer
+) -> DataFrame:
+    """``df`` plus the label and confidence of the scorer for each row's language."""
+    timed = df.withColumn("_text", combined_text())
+    return score_by_value(timed, lang, scorers, other, "_text").drop("_text")
+
+
+def enrich_topics(df: DataFrame, choices: DataFrame, scorer: LexiconScorer) -> DataFrame:
+    """``df`` plus a topic out of the list of its subreddit; any topic where it has none.
+
+    ``choices`` has rows (subreddit, label). An ordinary join on subreddit: Spark broadcasts the
+    lists, one row per subreddit, only if their size allows it.
+    """
+    lists = choices.groupBy("subreddit").agg(F.collect_set("label").alias("_allowed"))
+    joined = df.withColumn("_text", combined_text()).join(lists, "subreddit", "left")
+    out = score_allowed(joined, "_allowed", scorer, "_text")
+    return out.select(*df.columns, scorer.name, f"{scorer.name}_confidence")
+
+
 def rescore_changed(
     silver: DataFrame, gold: DataFrame, scorers: Sequence[Scorer]
 ) -> DataFrame:

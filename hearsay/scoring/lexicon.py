@@ -122,3 +122,39 @@ def _best(s: LexiconScorer, logits: Column, top: Column) -> Column:
     softmax = F.round(F.lit(1.0) / sum(terms[1:], terms[0]), CONFIDENCE_PLACES)
     label = F.element_at(names, F.array_position(logits, top).cast("int"))
     return F.struct(label.alias("label"), softmax.alias("confidence"))
+
+
+def score_by_value(
+    df: DataFrame, by: str, scorers: Mapping[str, LexiconScorer], other: LexiconScorer, text: str
+) -> DataFrame:
+    """Add a label and a confidence with the scorer that the value of column ``by`` names, such
+    as one word list per language; ``other`` scores the rest, NULL included. All scorers share
+    a name. The text is split once, and of the scorers one runs per row."""
+    keep, hits = df.columns, F.col(HITS)
+    out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), [*scorers.values(), other], text)
+    scored = F.when(F.col("_blank"), F.struct(
+        F.lit(other.fallback).alias("label"), F.lit(0.0).alias("confidence")))
+    for value, s in scorers.items():
+        scored = scored.when(F.col(by) == value, _scored(s, hits))
+    out = out.withColumn("_result", scored.otherwise(_scored(other, hits)))
+    return out.select(*keep, F.col("_result.label").alias(other.name),
+                      F.col("_result.confidence").alias(f"{other.name}_confidence"))
+
+
+def score_allowed(df: DataFrame, allowed: str, scorer: LexiconScorer, text: str) -> DataFrame:
+    """Add a label and a confidence, with only the labels in the array column ``allowed`` in the
+    running; all of them where it is NULL. An empty list gives the fallback."""
+    keep, labels = df.columns, scorer.labels
+    out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), [scorer], text)
+    usable = [F.coalesce(F.array_contains(F.col(allowed), label), F.lit(True)) for label in labels]
+    counts = F.array(*[F.when(u, F.size(_only(F.col(HITS), own))).otherwise(0)
+                       for u, own in zip(usable, scorer.words.values())])
+    # no label that is out can win: its logit lies far below any other
+    result = _bind(counts, lambda n: _bind(
+        F.transform(_logits(scorer, n), lambda x, i: F.when(F.array(*usable)[i], x).otherwise(F.lit(-1e6))),
+        lambda logits: _bind(F.array_max(logits), lambda top: _best(scorer, logits, top))))
+    none = F.struct(F.lit(scorer.fallback).alias("label"), F.lit(0.0).alias("confidence"))
+    out = out.withColumn("_result", F.when(
+        F.col("_blank") | (F.size(F.coalesce(F.col(allowed), F.array(F.lit("")))) == 0), none).otherwise(result))
+    return out.select(*keep, F.col("_result.label").alias(scorer.name),
+                      F.col("_result.confidence").alias(f"{scorer.name}_confidence"))

@@ -56,6 +56,30 @@ def _split(words: dict[str, str], labels: tuple[str, ...]) -> dict[str, tuple[st
     return {label: tuple(words.get(label, "").split()) for label in labels}
 
 
+#: Common words of the invented prose by language; the other languages share one list.
+LANGUAGE_WORDS = {
+    "en": {"negative": "this are from", "positive": "with by"},
+    "de": {"negative": "und des von sich", "positive": "mit den auf"},
+    "fr": {"negative": "des sur", "positive": "les et du"},
+}
+OTHER_WORDS = {"negative": "que por", "positive": "los una"}
+
+
+def language_scorers() -> tuple[dict[str, LexiconScorer], LexiconScorer]:
+    """A sentiment scorer per language, and the one for other languages."""
+    def one(words: dict[str, str]) -> LexiconScorer:
+        return LexiconScorer("sentiment", _split(words, SENTIMENT_LABELS), FALLBACKS["sentiment"],
+                             bias={"neutral": 1.5})
+
+    return {lang: one(words) for lang, words in LANGUAGE_WORDS.items()}, one(OTHER_WORDS)
+
+
+def tone_of_documents() -> LexiconScorer:
+    """A two-label word list for documents; the prose is invented, so it checks arithmetic only."""
+    words = {"clean": ("with", "by", "et", "mit", "los"), "toxic": ("idiot", "scum", "this", "des")}
+    return LexiconScorer("verdict", words, "clean", bias={"clean": 1.0})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
