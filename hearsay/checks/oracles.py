@@ -519,6 +519,29 @@ first AS (
   SELECT id, author, subreddit, title, score FROM silver ORDER BY id LIMIT 5"""),
         "sample_labelled_posts": (gold, f"""
   SELECT id, title, score, {labels} FROM gold ORDER BY id LIMIT 10"""),
+        "range_load_bronze": (bronze, f"""
+  SELECT * EXCLUDE (load_date), CAST(created_at AS DATE) AS load_day FROM bronze
+  WHERE coalesce(over_18, FALSE) = FALSE
+  QUALIFY row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY score DESC, id)
+    <= {POSTS_PER_DAY}"""),
+        "range_load_state": (bronze + """,
+following AS (SELECT max(CAST(created_at AS DATE)) + 1 AS d FROM bronze)""", """
+  SELECT strftime(d, '%Y') AS year, strftime(d, '%m') AS month, CAST(day(d) AS INTEGER) AS day
+  FROM following"""),
+        "stored_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
+        "stored_sentiment_by_subreddit": (gold, SENTIMENT_MART),
+        "stored_topic_trends": (gold, TOPIC_MART),
+        "stored_emotion_analysis": (gold, EMOTION_MART),
+        "stored_daily_metrics": (gold, DAILY_MART),
+        "run_metrics": (gold + ",\nm AS (" + " UNION ALL ".join(_keys(k) for k in LABEL_NAMES) + """
+  UNION ALL SELECT 'total_records_processed', count(*) FROM gold)""", """
+  SELECT 'check' AS run_id, key, CAST(value AS VARCHAR) AS value FROM m
+  UNION ALL SELECT 'check', unnest(['sentiment_errors_count', 'emotion_errors_count',
+    'topic_errors_count']), '0'"""),
+        "write_check": (silver, """
+  SELECT layer, n AS expected, n AS actual, TRUE AS ok
+  FROM (SELECT count(*) AS n FROM silver), (SELECT unnest(['silver', 'gold']) AS layer)"""),
+        "csv_round_trip": (silver, f"{TREND} GROUP BY 1"),
         "stream_dedup": (bronze, """
   SELECT * FROM bronze
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY load_date, score) = 1"""),

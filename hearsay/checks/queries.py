@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearsay.checks import streams
+from hearsay.checks import stored, streams
 from hearsay.checks.tone import tone_scorer
 from hearsay.functions.filters import chosen, on_day, safe_only
 from hearsay.operators import explore as ex
@@ -315,7 +315,7 @@ def _batch_queries() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return _batch_queries() | {
+    return _batch_queries() | stored.queries() | {
         "stream_dedup": streams.stream_dedup,
         "stream_silver": streams.stream_silver,
         "stream_daily": streams.stream_daily,
