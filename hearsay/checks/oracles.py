@@ -529,6 +529,7 @@ following AS (SELECT max(CAST(created_at AS DATE)) + 1 AS d FROM bronze)""", """
   SELECT strftime(d, '%Y') AS year, strftime(d, '%m') AS month, CAST(day(d) AS INTEGER) AS day
   FROM following"""),
         "stored_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
+        "rescored_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
         "stored_sentiment_by_subreddit": (gold, SENTIMENT_MART),
         "stored_topic_trends": (gold, TOPIC_MART),
         "stored_emotion_analysis": (gold, EMOTION_MART),

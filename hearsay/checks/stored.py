@@ -64,6 +64,8 @@ def _refresh(spark: SparkSession, sf: str, base: str) -> None:
         refresh_marts(spark, s)
         silver.unionByName(gold).write.parquet(f"{base}/write_check")
         stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/gold")
+        refresh_gold(spark, s, prose_scorers(), run_id="check", only_changed=True)
+        stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/rescored_gold")
         read_layer(spark, s, "run_metrics").write.parquet(f"{base}/run_metrics")
         for mart in MARTS:
             read_mart(spark, s, mart).write.parquet(f"{base}/{mart}")
@@ -113,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "range_load_bronze": _bronze,
         "range_load_state": _read(_load, "progress", "year", "month", "day"),
         "stored_gold": _read(_refresh, "gold"),
+        "rescored_gold": _read(_refresh, "rescored_gold"),
         "stored_sentiment_by_subreddit": _read(_refresh, "sentiment_by_subreddit"),
         "stored_topic_trends": _topics,
         "stored_emotion_analysis": _read(_refresh, "emotion_analysis"),

@@ -75,7 +75,7 @@ def enrich_topics(df: DataFrame, choices: DataFrame, scorer: LexiconScorer) -> D
 
 
 def rescore_changed(
-    silver: DataFrame, gold: DataFrame, scorers: Sequence[Scorer]
+    silver: DataFrame, gold: DataFrame, scorers: Sequence[Scorer], keep_errors: bool = False
 ) -> DataFrame:
     """Like ``enrich``, but posts already in ``gold`` with the same text keep their labels.
 
@@ -94,7 +94,8 @@ def rescore_changed(
     joined = silver.join(
         known, (F.col("id") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left"
     ).withColumn("_text", F.when(F.col("_known").isNull(), text))
-    fresh = _scored(joined, scorers, keep_errors=False)
+    fresh = _scored(joined, scorers, keep_errors)
+    errors = [f"{s.name}_error" for s in scorers] if keep_errors else []
     return fresh.select(*silver.columns, *[
         F.when(F.col("_known"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in labels
-    ])
+    ], *errors)

@@ -24,7 +24,7 @@ def ensure_namespace(spark: SparkSession, settings: Settings) -> None:
 
 
 @contextmanager
-def _only_partitions_written(spark: SparkSession) -> Iterator[None]:
+def only_partitions_written(spark: SparkSession) -> Iterator[None]:
     """Let an overwrite replace just the partitions it writes. ``insertInto`` takes this from
     the session and ignores it as a writer option."""
     before = spark.conf.get(OVERWRITE_MODE)
@@ -51,7 +51,7 @@ def write_days(df: DataFrame, settings: Settings) -> None:
     known = set(rows.columns)
     aligned = [F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name)
                for f in spark.table(table).schema]
-    with _only_partitions_written(spark):
+    with only_partitions_written(spark):
         rows.select(*aligned).write.insertInto(table, overwrite=True)
 
 

@@ -150,3 +150,36 @@ def test_csv_export(spark, tmp_path, sf_dir):
     back = spark.read.option("header", True).csv(f"{tmp_path}/page")
     assert back.columns == page.columns
     assert back.count() == 100
+
+
+def test_gold_scores_only_new_and_edited_posts(spark, settings, tmp_path):
+    """The stand-in model notes every text it is given."""
+    log = str(tmp_path)
+
+    def load():
+        import uuid
+
+        def predict(texts):
+            for t in texts:
+                with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(t)
+            return [("x", 0.5)] * len(texts)
+        return predict
+
+    scorer = ModelScorer("sentiment", ("x",), "none", load)
+    ensure_namespace(spark, settings)
+
+    def refresh(rows):
+        silver = spark.createDataFrame(rows, "id string, title string, selftext string, created_utc bigint")
+        write_layer(silver, settings, "silver")
+        refresh_gold(spark, settings, [scorer], run_id="r", only_changed=True)
+        seen = sorted(p.read_text() for p in tmp_path.iterdir())
+        for p in tmp_path.iterdir():
+            p.unlink()
+        return seen, read_layer(spark, settings, "gold").count()
+
+    assert refresh([("1", "a", "b", 0), ("2", "c", "d", 0)]) == (["a b", "c d"], 2)
+    assert refresh([("1", "a", "b", 0), ("2", "c", "new", 0), ("3", "e", "f", 0)]) == (["c new", "e f"], 3)
+    assert refresh([("1", "a", "b", 0), ("2", "c", "new", 0), ("3", "e", "f", 0)]) == ([], 3)
+    runs = read_layer(spark, settings, "run_metrics").where("key = 'total_records_processed'").collect()
+    assert [r["value"] for r in runs] == ["3"]
