@@ -104,7 +104,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float | None =
     table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label",
+    rows = vectors.select("vec_id", F.col("embedding").alias("vec"), "label",
                           F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"))
     fit = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = stored(rows.filter(fit).groupBy("label", "dim", "vec").agg(
@@ -146,9 +146,9 @@ def _links(classes: DataFrame, grid: Grid, dim: int, least: float, parts: int) -
                 [*b.columns, pa.array(own), pa.array(met, pa.list_(pa.int64()))],
                 ["label", "dim", "vec", "id", "n", "own", "met"])
 
-    kind = classes.schema["label"].dataType.simpleString()
+    kind, vec = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     placed = stored(classes.select("label", "dim", "vec", "id", "n").mapInArrow(
-        place, f"label {kind}, dim int, vec array<double>, id long, n long, own long, met array<long>"), "vector-cells")
+        place, f"label {kind}, dim int, vec {vec}, id long, n long, own long, met array<long>"), "vector-cells")
     # labels as numbers: equal labels have equal hashes, and verification compares the label
     named = placed.withColumn("group", F.xxhash64("label")).withColumn("tag", F.hash("label"))
     columns = ["group", "dim", "cell", "id", "n", "own", "tag", "vec"]
