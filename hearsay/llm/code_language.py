@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hearsay.llm.common import held_out
 
-SAMPLE = 2400
+SAMPLE = 1600
 SLOTS = 4096
 SEED = 11
 UNKNOWN = "und"
@@ -95,7 +95,7 @@ def fit_codes(profiles: np.ndarray, names: np.ndarray, rounds: int = 150) -> Cod
     target = (code[which] + 1) / 2
     share = (1 / count)[which]
     share = (share / share.sum())[:, None]  # every language weighs the same
-    rows = profiles.astype("f4")
+    rows = profiles.astype("f4", copy=False)
     weights, bias = np.zeros((SLOTS, code.shape[1]), "f4"), np.zeros(code.shape[1], "f4")
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for turn in range(1, rounds + 1):
@@ -135,8 +135,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
 
     got = (rows.mapInArrow(each, "doc_id long, lang string, grid binary")
            .orderBy(F.xxhash64("doc_id"), "lang", "grid").limit(2 * sample).toArrow())
-    grid = np.frombuffer(b"".join(got["grid"].to_pylist()), "f4").reshape(-1, SLOTS)
-    return fit_codes(grid, np.array(got["lang"].to_pylist()))
+    grid = np.empty((len(got), SLOTS), "f4")
+    for i, row in enumerate(got["grid"]):
+        grid[i] = np.frombuffer(row.as_buffer(), "f4")
+    names = np.array(got["lang"].to_pylist())
+    del got
+    return fit_codes(grid, names)
 
 
 def tagged(docs: DataFrame, model: Codes | None, *keep: str) -> DataFrame:

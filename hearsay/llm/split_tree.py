@@ -81,12 +81,12 @@ def hypergeometric(uniform: Column, total: Column, marked: Column, drawn: Column
     stop = F.least(high, F.ceil(mean + 12 * spread + 12).cast("long"))
     choose = lambda a, b: _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
     whole = choose(total, drawn)
-    state = F.struct(F.lit(0.0).alias("sum"), start.alias("at"))
+    state = F.struct(F.lit(0.0).alias("sum"), start.alias("at"), whole.alias("whole"))
 
     def step(acc: Column, x: Column) -> Column:
-        p = F.exp(choose(marked, x) + choose(total - marked, drawn - x) - whole)
+        p = F.exp(choose(marked, x) + choose(total - marked, drawn - x) - acc["whole"])
         return F.struct((acc["sum"] + p).alias("sum"),
-                        F.when(acc["sum"] <= uniform, x).otherwise(acc["at"]).alias("at"))
+                        F.when(acc["sum"] <= uniform, x).otherwise(acc["at"]).alias("at"), acc["whole"].alias("whole"))
 
     return (F.when(low >= high, low)
             .otherwise(F.aggregate(F.sequence(start, stop), state, step)["at"]))
@@ -106,14 +106,17 @@ def split_quotas(quotas: DataFrame, n_sources: int, shards: int = SHARDS) -> Dat
     nodes = quotas.select("sid", F.lit(0).cast("long").alias("node"), F.col("n").cast("long").alias("n"))
     for turn in range(width):
         rest = 1 << (width - turn - 1)
-        sums = (nodes.groupBy("node").agg(F.sum("n").alias("n")))
+        # blocks of every tree node over the sources, all levels in one aggregate
+        sums = stored(nodes.select("node", "n", "sid", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+                      .groupBy("node", "level", F.expr("cast(shiftright(sid, level) as bigint)").alias("group"))
+                      .agg(F.sum("n").alias("n")), "quota-sums")
         # the left half holds the larger part of an odd number of blocks, fairly over the shards
-        drawn = sums.select("node", F.lit(0).cast("long").alias("group"), "n",
-                            _left_part(F.col("n"), rest).alias("x"))
+        drawn = sums.filter(F.col("level") == levels).select(
+            "node", "group", "n", _left_part(F.col("n"), rest).alias("x"))
         for level in range(levels, 0, -1):
-            halves = nodes.groupBy("node", F.shiftright("sid", level).cast("long").alias("group")).agg(
-                F.sum(F.when(F.shiftright("sid", level - 1) % 2 == 0, F.col("n")).otherwise(0)).alias("left"))
-            down = drawn.join(halves, ["node", "group"])
+            left = sums.filter((F.col("level") == level - 1) & (F.col("group") % 2 == 0)).select(
+                "node", F.shiftright("group", 1).alias("group"), F.col("n").alias("left"))
+            down = drawn.join(left, ["node", "group"], "left").fillna(0, ["left"])
             u = _uniform(F.lit(turn), F.lit(level), F.col("node"), F.col("group"))
             down = down.select("node", "group", "n", "x", "left",
                                hypergeometric(u, F.col("n"), F.col("left"), F.col("x")).alias("y"))
