@@ -22,7 +22,8 @@ from hearsay.llm.components import components, merge_labels
 
 BITS, STEP = 64, 4
 SEED = 42
-SLICE = 1 << 19
+#: Hashes, or pairs of trie nodes, that a task works on at once: bounds its arrays.
+SLICE = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -78,9 +79,8 @@ def trie_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 16384) -> DataF
     link joins two values that chains of such pairs connect.
     """
     spark, depth, tasks = fps.sparkSession, 0, []
-    pending = spark.range(1).select(
-        F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"),
-        F.lit(0).alias("err"))
+    root = F.col("id")  # written, so that the first step is an ordinary join on the node
+    pending = stored(spark.range(1).select(root.alias("pa"), root.alias("pb"), root.cast("int").alias("err")), "trie-root")
     masks = [(m, m.bit_count()) for m in range(1 << STEP) if m.bit_count() <= budget]
     mask_array = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(c).alias("cost"))
                            for m, c in masks])

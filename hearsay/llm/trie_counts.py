@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The mark before a word, and what an uncovered letter costs below the least score.
 MARK, PENALTY = "▁", 10.0
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 SCORE = ""
 
 
