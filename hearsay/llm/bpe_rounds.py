@@ -17,7 +17,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -34,9 +34,9 @@ _ODD_SPACE = regex.compile("[\\x1c-\\x1f]")  # str.split() breaks here, the toke
 #: normalizer and splitter are then asked.
 _RARE = regex.compile("[^\\x00-\u024f\u2010-\u2027]")
 #: Most characters of distinct words that one merge array holds.
-ARRAY = 1 << 21
+ARRAY = 1 << 18
 #: Distinct chunks whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 60_000
 
 
 def default_file() -> str:
@@ -78,10 +78,14 @@ class WordBpe:
         self.split = regex.compile(split)
         self.known: dict[str | int, bytes] = {}
         self.byte_of = {s: b for b, s in enumerate(signs)}
-        library = Tokenizer.from_file(path)
-        self.normalize, self.pre = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.path = path
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, read only once a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def chunks(self, text: str) -> list[str | int]:
         """A text as normalized runs of other than white space, and ids of special tokens."""
         if "<|" in text:
@@ -93,7 +97,7 @@ class WordBpe:
 
     def _runs(self, text: str) -> list[str]:
         if _RARE.search(text):
-            return [x for x in self.normalize(text).split(" ") if x]
+            return [x for x in self.library.normalizer.normalize_str(text).split(" ") if x]
         text = unicodedata.normalize("NFC", text)
         # lower case letter by letter: a capital sigma has one small form, wherever it stands
         text = text.replace("Σ", "σ").lower()
@@ -104,7 +108,8 @@ class WordBpe:
     def words(self, chunk: str) -> list[bytes]:
         """The words of a normalized chunk as bytes."""
         if _RARE.search(chunk):
-            return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.pre(chunk)]
+            return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in
+                    self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return [w.encode() for w in self.split.findall(chunk)]
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
@@ -207,7 +212,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 #: Characters encoded together: bounds the arrays of a task.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 19
 
 
 def _each(docs, path, keep, made, result) -> DataFrame:
@@ -232,6 +237,7 @@ def _each(docs, path, keep, made, result) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(result(bpe, bpe.encode(part)), kinds)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names)
                 at += len(part)
+            pa.default_memory_pool().release_unused()
 
     out = narrow.mapInArrow(each, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
