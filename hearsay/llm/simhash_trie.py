@@ -234,7 +234,11 @@ def one_per_group(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame
     id (of those, the smallest hash of the text; null ids come last). Rows equal in id and text
     are one row. Texts are shuffled once: the join and the removal of equal rows share it.
     """
-    groups = near_groups(docs, words, budget)
+    return keep_first(docs, near_groups(docs, words, budget))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_per_group`` keeps of ``groups`` (id, key, fp, group)."""
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
     root = groups.groupBy(F.coalesce("group", "fp").alias("g"), F.col("group").isNull().alias("nameless")).agg(
         F.min(order).alias("m"))  # a group without any id goes by its fingerprint
