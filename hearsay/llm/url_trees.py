@@ -142,20 +142,23 @@ class Trees:
 
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH) -> Trees:
-    """Fit on rows of ``FEATURES`` and ``blocked`` (0 or 1).
+    """Fit on rows of ``FEATURES`` and ``blocked`` (0 or 1), with a ``weight`` or of weight 1.
 
     With labels of one kind, or none, there are no trees and every URL gets the labelled share
     (smoothed by one of each kind).
     """
     cuts = [i / BINS for i in range(1, BINS)]
-    head = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("k"),
+    if "weight" not in labelled.columns:
+        labelled = labelled.withColumn("weight", F.lit(1))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    head = labelled.agg(total("weight").alias("n"), total(F.col("blocked") * F.col("weight")).alias("k"),
                         *[F.percentile_approx(f, cuts, 1000).alias(f) for f in FEATURES]).first()
-    n, k = head["n"], int(head["k"])
+    n, k = int(head["n"]), int(head["k"])
     model = Trees([sorted(set(head[f] or [])) for f in FEATURES], math.log((k + 1) / (n - k + 1)), [])
     if k in (0, n):
         return model
-    grouped = stored(labelled.select(model.bins().alias("bins"), "blocked")
-                     .groupBy("bins", "blocked").agg(F.count("*").alias("weight")), "url-bins")
+    grouped = stored(labelled.select(model.bins().alias("bins"), "blocked", "weight")
+                     .groupBy("bins", "blocked").agg(F.sum("weight").alias("weight")), "url-bins")
     for _ in range(rounds):
         chance = 1 / (1 + F.exp(-model.margin()))
         rows = grouped.select("bins", ((F.col("blocked") - chance) * F.col("weight")).alias("pull"),
@@ -211,8 +214,9 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     labelled = (ruled.filter(F.col("ruled").isNotNull())
                 .select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("blocked")))
     suffixes = stored(suffix_statistics(labelled), "suffixes")
-    chosen = labelled.orderBy(F.xxhash64("url"), "url").limit(sample)
-    model = fit(stored(with_features(chosen, suffixes).select(*FEATURES, "blocked"), "url-sample"))
+    distinct = labelled.groupBy("url", "host", "path", "blocked").agg(F.count("*").alias("weight"))
+    chosen = distinct.orderBy(F.xxhash64("url"), "url").limit(sample)
+    model = fit(stored(with_features(chosen, suffixes).select(*FEATURES, "blocked", "weight"), "url-sample"))
     rows = with_features(ruled, suffixes).withColumn("bins", model.bins())
     rows = rows.withColumn("score", 1 / (1 + F.exp(-model.margin())))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
