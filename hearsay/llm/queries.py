@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearsay.llm import (
-    bpe_rounds, code_language, column_scan, multi_index, pair_ranking, rans_ids, simhash_trie, split_tree, trie_counts, url_trees,
+    best_fit, bpe_rounds, code_language, column_scan, fill_middle, multi_index, pair_ranking, prefix_trie, rans_ids,
+    simhash_trie, split_tree, trie_counts, url_trees,
 )
 from hearsay.llm.common import stored, table
 
@@ -59,10 +60,24 @@ def op10_column_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_scan.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(best_fit.pieces(table(spark, sf_dir, "documents")), "pieces")
+    return best_fit.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """One query per operator."""
     found = [op1_url_trees, op2_multi_index, op3_simhash_trie, op4_quality_ranking, op5_trie_counts, op6_language_codes,
-             op7_rans_ids, op8_bpe_rounds, op9_split_tree, op10_column_scan]
+             op7_rans_ids, op8_bpe_rounds, op9_split_tree, op10_column_scan, op11_best_fit, op12_prefix_trie,
+             op13_fill_middle]
     return {f.__name__: f for f in found}
 
 

@@ -1,0 +1,289 @@
+"""Packing, the conversation trie and fill-in-middle against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from hearsay.llm import best_fit, byte_bpe, fill_middle, prefix_trie
+from hearsay.llm.common import stored
+from hearsay.llm.queries import queries
+
+ODD = [None, "", " \n\t", "word", "a\x1cb c", "no <S> here", "\n\n\n", "x" * 40_000, "line\n" * 9000, "é\n日本語\n😀",
+       "same\ntext", "same\ntext", "ends with <", "P>\n<\n>", "<|endoftext|>", "long line " * 4000 + "\nshort\n"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "chunk", 1, "head", 0) for i, t in enumerate(ODD)]
+    rows += [(None, "no id\nat all", "x", 2, "y", 0), (3, "word", "x", 2, "y", 0), (3, "other\ntext", "x", 2, "y", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, chunk string, part int, head string, `a.b` int")
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+# -- byte-level ids -------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(byte_bpe.default_file())
+
+
+def ids_of(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
+def test_every_code_point_is_encoded_as_the_library_does(library):
+    own = byte_bpe.ByteBpe(byte_bpe.default_file())
+    points = [c for c in range(0x33500) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + chr(c) + " " + chr(c) + "1" + chr(c) + chr(c) for c in points]
+    found = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, f in zip(texts, found) if ids_of(own.encode(t)) != f.ids] == []
+
+
+@hyp(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B ", " c", "  ", "\n", "\t", "'s", "'LL", "'", "1", "²", "½", "_", "!", " <|endoftext|>", "é",
+                                 "ª", "\x1d", "\x85", "\xa0", "　", "。", "ƿ", "–"]), max_size=20))
+def test_strings_are_encoded_as_the_library_does(parts):
+    text, lib = "".join(parts), Tokenizer.from_file(byte_bpe.default_file())
+    assert ids_of(byte_bpe.load(byte_bpe.default_file()).encode(text)) == lib.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 200_000, "日本" * 100_000, "aé日 \n" * 100_000,
+                                  "ACGT" * 50_000, "." * 300_000], ids=str.__len__)
+def test_long_runs_are_encoded_as_the_library_does(library, text):
+    assert ids_of(byte_bpe.load(byte_bpe.default_file()).encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_full_word_store_starts_again(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 5)
+    own = byte_bpe.ByteBpe(byte_bpe.default_file())
+    text = " ".join(f"word{chr(97 + i % 26)}x" for i in range(200))
+    assert ids_of(own.encode(text)) == library.encode(text, add_special_tokens=False).ids and len(own) <= 5
+
+
+# -- packing --------------------------------------------------------------------------------
+
+def check_packing(rows, found, size=1024):
+    """Pieces are those of the library's ids, every sequence is gapless and at most ``size`` long."""
+    lib = Tokenizer.from_file(byte_bpe.default_file())
+    want, total = Counter(), 0
+    for name, text in rows:
+        ids = lib.encode(text, add_special_tokens=False).ids + [2]
+        total += len(ids)
+        head = (len(ids) - 1) % size + 1
+        edges = [0, *range(head, len(ids) + 1, size)]
+        for k, (i, j) in enumerate(zip(edges, edges[1:])):
+            want[name, k, i, j - i, zlib.crc32(np.array(ids[i:j], "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    held = defaultdict(list)
+    for r in found:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(held), total
+
+
+def plain_best_fit(lengths, size):
+    """Best-fit decreasing, a piece at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(room, i) for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits)[1]] -= n
+        else:
+            rooms.append(size - n)
+    return sorted(rooms)
+
+
+@hyp(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=120))
+def test_plan_is_best_fit_decreasing(lengths):
+    counts, rooms = Counter(lengths), {}
+    for length, first, n, per, sequence, room in best_fit.plan(counts, 40):
+        for i in range(n):
+            rooms.setdefault(sequence + i // per, []).append((room + i % per * length, length))
+    for places in rooms.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 40
+    assert Counter(n for p in rooms.values() for _, n in p) == counts
+    assert sorted(40 - sum(n for _, n in p) for p in rooms.values()) == plain_best_fit(lengths, 40)
+
+
+def test_packing_of_the_documents(spark, sf_dir):
+    rows = rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = queries()["op11_best_fit"](spark, sf_dir).collect()
+    n, total = check_packing(rows, found)
+    assert n == len(plain_best_fit([r["length"] for r in found], 1024))
+    assert n <= 1.02 * total / 1024 + 1
+
+
+def test_packing_of_odd_rows(spark, odd):
+    pieces = stored(best_fit.pieces(odd.repartition(5)), "odd-pieces")
+    found = best_fit.place(pieces.withColumn("ids_crc32", F.crc32("ids")))
+    check_packing(rows_of(odd), found.collect())
+    whole = best_fit.sequences(found).collect()
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] <= 4096 for r in whole)
+    assert sum(r["n_tokens"] for r in whole) == found.agg(F.sum("length")).first()[0]
+    assert best_fit.pack(odd.limit(0)).count() == 0
+
+
+def test_many_equal_lengths_over_many_tasks(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c").otherwise(
+        F.repeat(F.lit(" a"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("int"))).alias("text")).repartition(23)
+    pieces = stored(best_fit.pieces(docs), "many-pieces")
+    found = best_fit.place(pieces.withColumn("ids_crc32", F.crc32("ids"))).collect()
+    n, total = check_packing(rows_of(docs), found)
+    assert n <= 1.02 * total / 1024 + 1
+
+
+# -- conversation trie ----------------------------------------------------------------------
+
+def plain_trie(rows):
+    held = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            held[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v, key=lambda t: t[:2])] for c, v in held.items()}
+    nodes = defaultdict(list)
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = tuple(own.get(c - c % 5, [])[:h] + own[c][h:])
+        for d in range(len(built[c]) + 1):
+            nodes[built[c][:d]].append(c)
+    kids = defaultdict(list)
+    for n in nodes:
+        if n:
+            kids[n[:-1]].append(n)
+    leaves, saved = {}, {}
+    for n in sorted(nodes, key=len, reverse=True):
+        leaves[n] = sum(leaves[k] for k in kids[n]) or 1
+        saved[n] = sum(saved[k] for k in kids[n]) + ((len(nodes[n]) - 1) * len(n[-1][1].encode()) if n else 0)
+    out = Counter()
+    for n, members in nodes.items():
+        ends = ",".join(str(c) for c in sorted(members) if len(built[c]) == len(n))
+        out[min(members), len(n), min(nodes[n[:-1]]) if n else None, len(members), len(kids[n]), leaves[n], saved[n],
+            hashlib.sha256(ends.encode()).hexdigest()] += 1
+    return out
+
+
+NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def nodes_of(df):
+    assert [t for c, t in df.dtypes if c != "ends_sha256"] == ["bigint"] * 7
+    return Counter(tuple(r) for r in df.select(*NODE).collect())
+
+
+def test_trie_of_the_conversations(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert nodes_of(queries()["op12_prefix_trie"](spark, sf_dir)) == plain_trie(rows)
+
+
+@pytest.mark.parametrize("block, stretch, joined", [(8, 1024, 1 << 16), (3, 2, 16), (1, 1, 16)])
+def test_trie_of_shared_beginnings(spark, monkeypatch, block, stretch, joined):
+    monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    monkeypatch.setattr(prefix_trie, "STRETCH", stretch)
+    monkeypatch.setattr(prefix_trie, "JOINED", joined)
+    rng, rows = random.Random(7), []
+    for c in rng.sample(range(400), 150):
+        size = rng.choice([1, 2, 7, 9, 13, 40])
+        # a third opens alike, some are equal throughout, some differ late
+        texts = [f"t{d if rng.random() < 0.97 else rng.randrange(99)}" if c % 3 else f"u{rng.randrange(3)}" for d in range(size)]
+        rows += [(c, d if d else None, rng.choice(["user", None]) if d == 3 else "user", t if t != "u2" else None)
+                 for d, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    assert nodes_of(prefix_trie.trie(df)) == plain_trie(rows)
+
+
+def test_trie_of_odd_rows(spark):
+    kind = "conv_id long, turn long, role string, text string, depth int, k string, `a.b` int"
+    rows = [(1, 0, "user", "only", 1, "x", 0), (None, 1, "user", "nobody", 1, "x", 0), (2, 5, None, None, 1, "x", 0),
+            (2, 5, None, None, 1, "x", 0), (4, 1, "user", "é" * 50_000, 1, "x", 0), (9, 0, "user", "", 1, "x", 0)]
+    assert nodes_of(prefix_trie.trie(spark.createDataFrame(rows, kind))) == plain_trie([r[:4] for r in rows])
+    assert prefix_trie.trie(spark.createDataFrame([], kind)).count() == 0
+    nothing = [r for r in rows if r[0] is None]
+    assert prefix_trie.trie(spark.createDataFrame(nothing, kind)).count() == 0
+    # a conversation without a turn left
+    short = next(c for c in range(1, 99) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1)
+    one = [(short, 0, "user", "lost")]
+    assert nodes_of(prefix_trie.trie(spark.createDataFrame(one, "conv_id long, turn long, role string, text string"))) == plain_trie(one)
+
+
+def test_one_long_conversation_is_ranked_in_pieces(spark):
+    rows = [(c, d, "user", f"{d % 50}") for c in (0, 1) for d in range(20_000 if c == 0 else 30)]
+    found = prefix_trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    alone = found.filter("conv_id = 0 and n_convs = 1")
+    assert found.agg(F.max("depth")).first()[0] == 20_000
+    assert alone.agg(F.sum("n_children"), F.max("n_leaves"), F.max("saved_tokens")).first()[1:] == (1, 0)
+    short = nodes_of(found.filter("depth <= 25"))
+    assert short - plain_trie(rows[:40] + rows[20_000:]) == Counter()
+
+
+# -- fill in the middle ---------------------------------------------------------------------
+
+def plain_middle(name, text):
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    digest = hashlib.sha256(f"7:{'' if name is None else name}".encode()).hexdigest()
+    h = [int(digest[i:i + 8], 16) for i in range(0, 32, 8)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, text
+    if h[3] % 100 < 50:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def check_middle(rows, found):
+    want = Counter((i, *plain_middle(i, t)[:4], sha(plain_middle(i, t)[4]), sha(t)) for i, t in rows)
+    assert Counter(tuple(r) for r in found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                                                  "restored_sha256").collect()) == want
+
+
+def test_middles_of_the_documents(spark, sf_dir):
+    rows = rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    check_middle(rows, queries()["op13_fill_middle"](spark, sf_dir))
+    assert {plain_middle(*r)[1] for r in rows} >= {"psm", "spm"}
+
+
+@pytest.mark.parametrize("piece", [1 << 14, 5])
+def test_middles_of_odd_rows(spark, odd, monkeypatch, piece):
+    monkeypatch.setattr(fill_middle, "PIECE", piece)
+    docs = odd if piece > 5 else odd.filter("text is null or length(text) < 100")
+    rows = rows_of(docs)
+    check_middle(rows, fill_middle.digests(docs))
+    want = Counter((i, plain_middle(i, t)[1], plain_middle(i, t)[4]) for i, t in rows)
+    assert Counter(tuple(r) for r in fill_middle.texts(docs).collect()) == want
+    assert fill_middle.digests(docs.limit(0)).count() == 0
+
+
+def test_one_shuffle_of_the_texts(spark, odd):
+    plan = fill_middle.digests(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_other_shares_of_forms(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    forms = Counter(r["form"] for r in fill_middle.digests(docs, fill_middle.Rule(turned=0)).collect())
+    assert set(forms) == {"plain"}
