@@ -6,7 +6,7 @@ arithmetic and not by the last bit of a double.
 
 from __future__ import annotations
 
-from hearsay.checks.queries import FIRST, LAST, LOAD_DAY, PAGE, POSTS_PER_DAY, SOME_SUBREDDITS
+from hearsay.checks.queries import ALIKE, FIRST, LAST, LOAD_DAY, PAGE, POSTS_PER_DAY, SOME_SUBREDDITS
 from hearsay.functions.text import BOT_PATTERN, STRICT_BOT_PATTERN
 from hearsay.scoring.lexicon import WORD_SEPARATOR, LexiconScorer
 from hearsay.sources.sample_posts import language_scorers, prose_scorers, tone_of_documents
@@ -320,6 +320,56 @@ matrix AS (
 )"""
 
 
+MEMBERS = SILVER + """,
+members AS (SELECT DISTINCT subreddit, author FROM silver WHERE subreddit IS NOT NULL AND author IS NOT NULL),
+sizes AS (SELECT subreddit, count(*) AS n FROM members GROUP BY subreddit)"""
+ALIKE_PAIRS = MEMBERS + f""",
+edges AS (
+  SELECT a, b, shared, round(shared::DOUBLE / (x.n + y.n - shared), 6) AS jaccard
+  FROM (SELECT p.subreddit AS a, q.subreddit AS b, count(*) AS shared
+        FROM members p JOIN members q ON p.author = q.author AND p.subreddit < q.subreddit GROUP BY 1, 2)
+  JOIN sizes x ON x.subreddit = a JOIN sizes y ON y.subreddit = b
+  WHERE shared * {ALIKE.denominator} >= (x.n + y.n - shared) * {ALIKE.numerator}
+)"""
+GRAPH = "RECURSIVE " + ALIKE_PAIRS.strip() + """,
+ways AS (SELECT a AS node, b AS other, shared, jaccard FROM edges UNION ALL SELECT b, a, shared, jaccard FROM edges),
+reached(node, other) AS (
+  SELECT subreddit, subreddit FROM sizes UNION SELECT r.node, w.other FROM reached r JOIN ways w ON w.node = r.other
+),
+around AS (SELECT node, count(*) AS neighbours, CAST(sum(shared) AS BIGINT) AS shared FROM ways GROUP BY node),
+strongest AS (SELECT node, other FROM ways QUALIFY row_number() OVER (PARTITION BY node ORDER BY jaccard DESC, other) = 1)"""
+
+MARKED = r"""
+marked AS (
+  SELECT doc_id, text, CASE toxic WHEN 1 THEN 'toxic' ELSE 'clean' END AS truth
+  FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1) AND length(text) % 5 <> 0
+),
+seen AS (
+  SELECT DISTINCT doc_id, truth, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM marked
+),
+everywhere AS (SELECT word, count(*) AS n FROM seen WHERE word <> '' GROUP BY word HAVING count(*) >= 2),
+per AS (SELECT word, truth, count(*) AS n FROM seen GROUP BY word, truth),
+texts AS (SELECT truth AS label, count(*) AS n FROM marked GROUP BY truth),
+learned AS (
+  SELECT e.word, t.label, round(ln(((coalesce(p.n, 0) + 0.5::DOUBLE) / (t.n + 1.0::DOUBLE))
+    / ((e.n + 0.5::DOUBLE) / ((SELECT count(*) FROM marked) + 1.0::DOUBLE))), 6) AS weight
+  FROM everywhere e CROSS JOIN texts t LEFT JOIN per p ON p.word = e.word AND p.truth = t.label
+)"""
+WORD_VERDICTS = MARKED + r""",
+all_words AS (
+  SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents
+),
+logits AS (
+  SELECT doc_id, CAST(sum(CASE label WHEN 'clean' THEN CAST(weight AS DECIMAL(18,6)) END) AS DOUBLE) AS clean,
+    CAST(sum(CASE label WHEN 'toxic' THEN CAST(weight AS DECIMAL(18,6)) END) AS DOUBLE) AS toxic
+  FROM all_words JOIN learned USING (word) GROUP BY doc_id
+),
+every AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(clean, 0.0) AS clean, coalesce(toxic, 0.0) AS toxic
+  FROM documents LEFT JOIN logits USING (doc_id)
+)"""
+
+
 def _language_parts() -> list[str]:
     """A SELECT per language with its own word lists."""
     scorers, other = language_scorers()
@@ -484,6 +534,29 @@ past AS (
             _gold(SILVER, ["id", "subreddit"], prose_scorers()[2:],
                   "(subreddit = 'src7' OR (CAST(substring(subreddit, 4) AS INTEGER) + {i}) % 3 <> 0)"),
             "SELECT * FROM gold"),
+        "author_degrees": (MEMBERS, "SELECT author, count(*) AS subreddits FROM members GROUP BY author"),
+        "subreddit_similarity": (ALIKE_PAIRS, "SELECT * FROM edges"),
+        "subreddit_graph": (GRAPH, """
+  SELECT subreddit, n AS authors, coalesce(neighbours, 0) AS neighbours, coalesce(shared, 0) AS shared,
+    s.other AS strongest, (SELECT min(r.other) FROM reached r WHERE r.node = subreddit) AS community
+  FROM sizes LEFT JOIN around a ON a.node = subreddit LEFT JOIN strongest s ON s.node = subreddit"""),
+        "learned_words": (MARKED, "SELECT * FROM learned"),
+        "word_table_verdicts": (WORD_VERDICTS, """
+  SELECT doc_id,
+    CASE WHEN NOT regexp_matches(text, '\\S') OR clean >= toxic THEN 'clean' ELSE 'toxic' END AS verdict,
+    CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0::DOUBLE
+      ELSE round(1.0::DOUBLE / (exp(clean - greatest(clean, toxic)) + exp(toxic - greatest(clean, toxic))), 6) END
+      AS verdict_confidence
+  FROM every"""),
+        "incremental_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
+        "incremental_sentiment_by_subreddit": (gold, SENTIMENT_MART),
+        "incremental_topic_trends": (gold, f"SELECT * EXCLUDE (related_subreddits) FROM ({TOPIC_MART})"),
+        "incremental_topic_subreddits": (gold, """
+  SELECT topic, subreddit, count(*) AS posts FROM gold WHERE topic IS NOT NULL AND subreddit IS NOT NULL GROUP BY 1, 2"""),
+        "incremental_emotion_analysis": (gold, EMOTION_MART),
+        "incremental_daily_metrics": (gold, DAILY_MART),
+        "kpis_from_states": (silver, KPI),
+        "kpis_filtered_from_states": (silver, f"{KPI} WHERE {DAYS} AND {SUBS}"),
         "kpis": (silver, KPI),
         "kpis_filtered": (silver, f"{KPI} WHERE {DAYS} AND {SUBS}"),
         "daily_trends": (silver, f"{TREND} GROUP BY 1"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from hearsay.checks import stored, streams
 from hearsay.checks.tone import tone_scorer
 from hearsay.functions.filters import chosen, on_day, safe_only
 from hearsay.operators import explore as ex
+from hearsay.operators import graph
 from hearsay.operators import insights as ins
 from hearsay.operators import marts as m
 from hearsay.operators import quality as q
@@ -24,6 +26,9 @@ from hearsay.operators.topk import top_per_group, top_rows
 from hearsay.plans.layers import build_gold, build_silver, label_then_dedup
 from hearsay.functions.numbers import avg_confidence
 from hearsay.scoring import enrich
+from hearsay.scoring.fitted import fit, load_model, save_model
+from hearsay.scoring.word_table import learn_words, score_words
+from hearsay.session import shared_scratch
 from hearsay.scoring.enrich import enrich_by_language, enrich_topics
 from hearsay.sources.sample_posts import (
     language_scorers, prose_scorers, read_table, sample_posts, tone_of_documents,
@@ -33,10 +38,12 @@ from hearsay.sources.tables import stage_gold
 Query = Callable[[SparkSession, str], DataFrame]
 
 LOAD_DAY = date(2024, 1, 10)
-FIRST, LAST = date(2024, 1, 5), date(2024, 1, 24)
-SOME_SUBREDDITS = ("src1", "src2", "src3", "src5", "src8", "src13")
+FIRST, LAST, SOME_SUBREDDITS = stored.FIRST, stored.LAST, stored.SOME_SUBREDDITS
 POSTS_PER_DAY = 100
+#: Least similarity of two subreddits; the test posts give most of them most authors.
+ALIKE = Fraction(19, 20)
 PAGE = 100
+VERDICTS = ("clean", "toxic")
 
 LABELS = tuple(s.name for s in prose_scorers())
 LABEL_COLUMNS = tuple(c for name in LABELS for c in (name, f"{name}_confidence"))
@@ -138,6 +145,35 @@ def _confusion(spark: SparkSession, sf: str) -> DataFrame:
     return ins.confusion(marked, "truth", "verdict")
 
 
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their truth and fold; the fold that is held out learns nothing."""
+    truth = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    labels = read_table(spark, sf, "labels").select("doc_id", truth.alias("truth"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return read_table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id").withColumn("held_out", held)
+
+
+def _fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of a model fitted to four folds, on the fifth; the model goes through its table."""
+    marked = _marked(spark, sf)
+    path = shared_scratch(spark, "model")
+    save_model(spark, fit(marked.where("NOT held_out"), "text", F.col("truth") == "toxic", "verdict", VERDICTS), path)
+    return load_model(spark, path).score(marked.where("held_out"), "text")
+
+
+def _toxic_words(spark: SparkSession, sf: str) -> DataFrame:
+    return learn_words(_marked(spark, sf).where("length(text) % 5 <> 0"), "doc_id", "text", "truth")
+
+
+def _by_word_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, by a table of words learned from some of the marked ones."""
+    words, path = _toxic_words(spark, sf), shared_scratch(spark, "words")
+    words.write.parquet(path)
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    scored = score_words(docs, "doc_id", "text", spark.read.parquet(path), VERDICTS, "clean", "verdict")
+    return scored.select("doc_id", "verdict", "verdict_confidence")
+
+
 def _subreddit_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Topic lists made of every label but those of one third of the numbers, by subreddit."""
     topics = prose_scorers()[2]
@@ -151,6 +187,14 @@ def _subreddit_topics(spark: SparkSession, sf: str) -> DataFrame:
     return enrich_topics(posts, choices, topics).select("id", "subreddit", "topic", "topic_confidence")
 
 
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.memberships(_silver(spark, sf, "subreddit", "author"))
+
+
+def _similar(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.similar_subreddits(_members(spark, sf), ALIKE)
+
+
 def _listed(mart: DataFrame) -> DataFrame:
     """Topic trends with the array written as text, which every result reader compares alike."""
     return mart.withColumn("related_subreddits", F.array_join("related_subreddits", ","))
@@ -259,7 +303,16 @@ def _batch_queries() -> dict[str, Query]:
         "lang_sentiment": _by_language,
         "confusion_matrix": _confusion,
         "scorer_quality": lambda spark, sf: ins.scorer_quality(_confusion(spark, sf)),
+        "fitted_verdicts": lambda spark, sf: _fitted(spark, sf).select("doc_id", "verdict", "verdict_confidence"),
+        "fitted_quality": lambda spark, sf: ins.scorer_quality(
+            ins.confusion(_fitted(spark, sf), "truth", "verdict")),
+        "learned_words": _toxic_words,
+        "word_table_verdicts": _by_word_table,
         "subreddit_topics": _subreddit_topics,
+        "subreddit_similarity": _similar,
+        "subreddit_graph": lambda spark, sf: graph.subreddit_graph(
+            _members(spark, sf), graph._kept(_similar(spark, sf), "edges")),
+        "author_degrees": lambda spark, sf: graph.author_degrees(_members(spark, sf)),
         # exploration
         "kpis": _on_silver(ex.kpis, *KPI),
         "kpis_filtered": _on_silver(lambda s: ex.kpis(s, FIRST, LAST, SOME_SUBREDDITS), *KPI),

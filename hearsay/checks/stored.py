@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from hearsay.config import MARTS, Settings
 from hearsay.operators.explore import daily_trends
+from hearsay.operators.states import BUILDERS
 from hearsay.plans.daily_load import run_range
+from hearsay.plans.incremental import read_kpis, refresh_dates
 from hearsay.plans.layers import build_silver
 from hearsay.plans.refresh import read_mart, refresh_gold, refresh_marts, refresh_silver
 from hearsay.session import path_exists, shared_scratch
@@ -25,6 +27,8 @@ from hearsay.sources.sample_posts import prose_scorers, sample_posts
 from hearsay.sources.tables import read_layer, stage_gold
 
 POSTS_PER_DAY = 100
+FIRST, LAST = date(2024, 1, 5), date(2024, 1, 24)
+SOME_SUBREDDITS = ("src1", "src2", "src3", "src5", "src8", "src13")
 Build = Callable[[SparkSession, str, str], None]
 _PLACES: dict[tuple[str, str, str], str] = {}
 
@@ -71,6 +75,30 @@ def _refresh(spark: SparkSession, sf: str, base: str) -> None:
             read_mart(spark, s, mart).write.parquet(f"{base}/{mart}")
 
 
+def _increments(spark: SparkSession, sf: str, base: str) -> None:
+    """Marts from states after a first build, a corrected day, two new days and one that vanished."""
+    posts = sample_posts(spark, sf)
+    day = F.to_date("created_at")
+    first, last = posts.agg(F.min(day), F.max(day)).first()
+    wrong, gone, late = first + timedelta(days=3), last + timedelta(days=1), last - timedelta(days=1)
+    early = posts.where(day < F.lit(late)).withColumns({
+        "score": F.when(day == F.lit(wrong), F.col("score") + 77).otherwise(F.col("score")),
+        "author": F.when(day == F.lit(wrong), F.lit("somebody else")).otherwise(F.col("author"))})
+    moved = posts.where(day == F.lit(wrong)).withColumns({
+        "id": F.concat(F.lit("x"), "id"), "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY") * (gone - wrong).days,
+        "created_utc": F.col("created_utc") + 86400 * (gone - wrong).days})
+    with _namespace(spark) as s:
+        write_layer(early.unionByName(moved), s, "bronze")
+        refresh_dates(spark, s, None, prose_scorers())
+        write_layer(posts, s, "bronze")
+        refresh_dates(spark, s, [wrong, late, last, gone], prose_scorers())
+        stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/gold")
+        for mart in BUILDERS:
+            read_layer(spark, s, mart).write.parquet(f"{base}/{mart}")
+        read_kpis(spark, s).write.parquet(f"{base}/kpis")
+        read_kpis(spark, s, FIRST, LAST, SOME_SUBREDDITS).write.parquet(f"{base}/kpis_filtered")
+
+
 def _place(spark: SparkSession, sf: str, build: Build) -> str:
     key = (spark.sparkContext.applicationId, sf, build.__name__)
     if key not in _PLACES or not path_exists(spark, _PLACES[key]):
@@ -123,4 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_metrics": _metrics,
         "write_check": _read(_refresh, "write_check"),
         "csv_round_trip": csv_round_trip,
+        "incremental_gold": _read(_increments, "gold"),
+        **{f"incremental_{mart}": _read(_increments, mart) for mart in BUILDERS},
+        "kpis_from_states": _read(_increments, "kpis"),
+        "kpis_filtered_from_states": _read(_increments, "kpis_filtered"),
     }

@@ -11,6 +11,10 @@ LAYERS = {
     "gold": "posts_gold",
     "progress": "load_progress",
     "run_metrics": "run_metrics",
+    "post_states": "post_states",
+    "author_states": "author_states",
+    "author_numbers": "author_numbers",
+    "topic_subreddits": "mv_topic_subreddits",
 }
 
 MARTS = {

@@ -162,6 +162,32 @@ def write_layer(
     return {name: seen.get[name] for name in counts}
 
 
+def replace_dates(df: DataFrame, settings: Settings, layer: str, dates: Sequence[date] | None) -> None:
+    """Replace the partitions ``dates`` of a layer partitioned by ``post_date`` with the rows of ``df``;
+    None replaces the whole layer. A date that came back without rows is removed.
+
+    Each partition is replaced as a whole, and a repeated call leaves the same table. A layer that
+    was stored without such partitions is an error, not a silent rewrite.
+    """
+    spark, table = df.sparkSession, settings.table(layer)
+    # "rebalance" splits large dates over many files and merges small ones
+    rows = df.hint("rebalance", F.col("post_date"))
+    if dates is None or not layer_exists(spark, settings, layer):
+        rows.write.mode("overwrite").partitionBy("post_date").format("parquet").saveAsTable(table)
+        return
+    by = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if by != ["post_date"]:
+        raise ValueError(f"{table} is not partitioned by post_date; rebuild it for all dates")
+    seen = Observation(f"dates_{layer}")
+    rows = rows.observe(seen, F.collect_set("post_date").alias("dates"))  # dates only
+    with only_partitions_written(spark):
+        rows.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    written, held = set(seen.get["dates"]), {r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    for day in dates:
+        if day not in written and f"post_date={day.isoformat()}" in held:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (post_date = DATE '{day.isoformat()}')")
+
+
 def verify_write(
     spark: SparkSession, settings: Settings, layer: str, expected: int
 ) -> DataFrame:

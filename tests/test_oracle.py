@@ -11,13 +11,17 @@ QUERIES = queries()
 ORACLES = oracle_sql()
 
 
+#: Fitted by iteration; tests/test_learned.py measures them on texts that were held out.
+FITTED = {"fitted_verdicts", "fitted_quality"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | FITTED
     assert set(QUERIES) <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, duck, name):
     columns, rows = spark_rows(QUERIES[name](spark, sf_dir))
     expected_columns, expected_rows = duck_rows(duck, ORACLES[name])
