@@ -7,6 +7,8 @@ arithmetic and not by the last bit of a double.
 from __future__ import annotations
 
 from hearsay.checks.queries import ALIKE, FIRST, LAST, LOAD_DAY, PAGE, POSTS_PER_DAY, SOME_SUBREDDITS
+from hearsay.checks.stored import MOVED
+from hearsay.checks.streams import CLOSING_DELAY_DAYS
 from hearsay.functions.text import BOT_PATTERN, STRICT_BOT_PATTERN
 from hearsay.scoring.lexicon import WORD_SEPARATOR, LexiconScorer
 from hearsay.sources.sample_posts import language_scorers, prose_scorers, tone_of_documents
@@ -602,6 +604,20 @@ following AS (SELECT max(CAST(created_at AS DATE)) + 1 AS d FROM bronze)""", """
   SELECT strftime(d, '%Y') AS year, strftime(d, '%m') AS month, CAST(day(d) AS INTEGER) AS day
   FROM following"""),
         "stored_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
+        "month_end_bronze": (bronze + f""",
+moved AS (
+  SELECT * EXCLUDE (load_date) REPLACE (created_at + INTERVAL {MOVED} DAY AS created_at, created_utc + {MOVED * 86400} AS created_utc)
+  FROM bronze WHERE coalesce(over_18, FALSE) = FALSE
+),
+best AS (
+  SELECT *, CAST(created_at AS DATE) AS load_day FROM moved
+  QUALIFY row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY score DESC, id) <= {POSTS_PER_DAY}
+),
+runs AS (SELECT unnest([0, 1, 2]) AS run)""", """
+  SELECT best.*, TIMESTAMP '2024-03-01' + INTERVAL 1 HOUR * (load_day - DATE '2024-01-30') AS load_date, CAST(run AS INTEGER) AS run
+  FROM best, runs WHERE load_day BETWEEN DATE '2024-01-30' AND DATE '2024-01-30' + run
+    AND month(load_day) = month(DATE '2024-01-30' + run)"""),
+        "month_end_state": (bronze, "SELECT '2024' AS year, '02' AS month, 2 AS day"),
         "rescored_gold": (gold, f"SELECT {', '.join(STAGED_COLUMNS)} FROM gold"),
         "stored_sentiment_by_subreddit": (gold, SENTIMENT_MART),
         "stored_topic_trends": (gold, TOPIC_MART),
@@ -621,6 +637,10 @@ following AS (SELECT max(CAST(created_at AS DATE)) + 1 AS d FROM bronze)""", """
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY load_date, score) = 1"""),
         "stream_silver": (silver, "SELECT * FROM silver"),
         "stream_daily": (FIRST_GOLD, DAILY_MART),
+        "stream_closed_days": (FIRST_GOLD, f"""
+  SELECT * FROM ({DAILY_MART}) WHERE post_date + INTERVAL 1 DAY
+    <= (SELECT max(created_utc) FROM bronze)::DOUBLE * INTERVAL 1 SECOND + TIMESTAMP '1970-01-01'
+      - INTERVAL {CLOSING_DELAY_DAYS} DAY"""),
     }
 
 

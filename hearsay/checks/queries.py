@@ -372,6 +372,7 @@ def queries() -> dict[str, Query]:
         "stream_dedup": streams.stream_dedup,
         "stream_silver": streams.stream_silver,
         "stream_daily": streams.stream_daily,
+        "stream_closed_days": streams.stream_closed_days,
     }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hearsay.config import MARTS, Settings
 from hearsay.operators.explore import daily_trends
 from hearsay.operators.states import BUILDERS
-from hearsay.plans.daily_load import run_range
+from hearsay.plans.daily_load import run_day, run_range
 from hearsay.plans.incremental import read_kpis, refresh_dates
 from hearsay.plans.layers import build_silver
 from hearsay.plans.refresh import read_mart, refresh_gold, refresh_marts, refresh_silver
@@ -27,6 +27,8 @@ from hearsay.sources.sample_posts import prose_scorers, sample_posts
 from hearsay.sources.tables import read_layer, stage_gold
 
 POSTS_PER_DAY = 100
+#: Days by which posts are moved so that they cross the end of a month.
+MOVED = 2
 FIRST, LAST = date(2024, 1, 5), date(2024, 1, 24)
 SOME_SUBREDDITS = ("src1", "src2", "src3", "src5", "src8", "src13")
 Build = Callable[[SparkSession, str, str], None]
@@ -59,6 +61,35 @@ def _load(spark: SparkSession, sf: str, base: str) -> None:
         read_layer(spark, s, "progress").write.parquet(f"{base}/progress")
 
 
+def _month_end(spark: SparkSession, sf: str, base: str) -> None:
+    """Day by day over the end of a month that bronze does not keep: raw posts moved by two days."""
+    raw = sample_posts(spark, sf).drop("load_date").withColumns({
+        "created_at": F.col("created_at") + F.expr(f"INTERVAL {MOVED} DAY"), "created_utc": F.col("created_utc") + MOVED * 86400})
+    for month in (1, 2):
+        raw.where(F.month("created_at") == month).write.parquet(f"{base}/raw/2024/{month:02d}")
+    with _namespace(spark, posts_per_day=POSTS_PER_DAY, start=date(2024, 1, 30), retain_months=False) as s:
+        for n in range(3):
+            run_day(spark, s, f"{base}/raw", at=datetime(2024, 3, 1, n))
+            read_layer(spark, s, "bronze").withColumn("run", F.lit(n)).write.mode("append").parquet(f"{base}/bronze")
+        read_layer(spark, s, "progress").write.parquet(f"{base}/progress")
+
+
+def _edits(spark: SparkSession, sf: str, base: str) -> None:
+    """Gold in generations: built from posts of which some are later edited, then rescored where they
+    changed."""
+    posts = sample_posts(spark, sf)
+    number = F.col("id").cast("long")
+    before = posts.where(number % 9 != 0).withColumns({
+        "selftext": F.when(number % 7 == 0, F.lit("with by et les")).otherwise(F.col("selftext")),
+        "score": F.when(number % 5 == 0, F.col("score") + 1).otherwise(F.col("score"))})
+    with _namespace(spark, generations=True) as s:
+        for rows in (before, posts):
+            write_layer(rows, s, "bronze")
+            refresh_silver(spark, s)
+            refresh_gold(spark, s, prose_scorers(), run_id="edits", only_changed=True)
+        stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/rescored_gold")
+
+
 def _refresh(spark: SparkSession, sf: str, base: str) -> None:
     """Bronze to silver, gold, marts and run metrics."""
     with _namespace(spark, start=date(2024, 1, 1)) as s:
@@ -68,8 +99,6 @@ def _refresh(spark: SparkSession, sf: str, base: str) -> None:
         refresh_marts(spark, s)
         silver.unionByName(gold).write.parquet(f"{base}/write_check")
         stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/gold")
-        refresh_gold(spark, s, prose_scorers(), run_id="check", only_changed=True)
-        stage_gold(read_layer(spark, s, "gold")).write.parquet(f"{base}/rescored_gold")
         read_layer(spark, s, "run_metrics").write.parquet(f"{base}/run_metrics")
         for mart in MARTS:
             read_mart(spark, s, mart).write.parquet(f"{base}/{mart}")
@@ -143,7 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "range_load_bronze": _bronze,
         "range_load_state": _read(_load, "progress", "year", "month", "day"),
         "stored_gold": _read(_refresh, "gold"),
-        "rescored_gold": _read(_refresh, "rescored_gold"),
+        "rescored_gold": _read(_edits, "rescored_gold"),
+        "month_end_bronze": _read(_month_end, "bronze"),
+        "month_end_state": _read(_month_end, "progress", "year", "month", "day"),
         "stored_sentiment_by_subreddit": _read(_refresh, "sentiment_by_subreddit"),
         "stored_topic_trends": _topics,
         "stored_emotion_analysis": _read(_refresh, "emotion_analysis"),

@@ -34,6 +34,8 @@ class Settings:
     posts_per_day: int = 100
     start: date = date(2024, 7, 1)
     retain_months: bool = True
+    #: Layers and marts as views of generations, so that a rewrite is one switch for readers.
+    generations: bool = False
 
     def table(self, name: str) -> str:
         """Qualified table name of a layer or a mart."""

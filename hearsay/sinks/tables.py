@@ -1,7 +1,14 @@
-"""Table writers. One writer per table: plain parquet overwrites are not atomic for readers."""
+"""Table writers. One writer per table: plain parquet overwrites are not atomic for readers.
+
+With ``Settings.generations`` a layer is a view, and every rewrite a new table that the view is switched
+to when it is complete. Readers see the old rows or the new ones, a failed run changes nothing, and a
+rewrite may read the layer it replaces. The generation before the current one is kept for readers that
+still run.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from datetime import date
@@ -14,6 +21,7 @@ from hearsay.functions.filters import post_date
 from hearsay.sources.tables import Progress, layer_exists, read_layer
 
 DAY_COLUMN = "load_day"
+GENERATION, GENERATION_OF = "__generation_", "hearsay.generation"
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -158,10 +166,38 @@ def write_layer(
     )
     if by_post_date:
         writer = writer.partitionBy("post_date")
-    writer.saveAsTable(settings.table(layer))
+    table = settings.table(layer)
+    if settings.generations:
+        fresh = f"{table}{GENERATION}{uuid.uuid4().hex}"
+        writer.saveAsTable(fresh)
+        _switch(df.sparkSession, settings, layer, fresh)
+    else:
+        writer.saveAsTable(table)
     return {name: seen.get[name] for name in counts}
 
 
+def current_generation(spark: SparkSession, settings: Settings, layer: str) -> str | None:
+    """The table a layer's view reads, or None before the first generation."""
+    if not layer_exists(spark, settings, layer):
+        return None
+    comment = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {settings.table(layer)}").collect()}
+    return comment.get(GENERATION_OF)
+
+
+def _switch(spark: SparkSession, settings: Settings, layer: str, fresh: str) -> None:
+    """Let the layer's view read ``fresh``; drop the generations that neither it nor the view before
+    it reads."""
+    table, old = settings.table(layer), current_generation(spark, settings, layer)
+    if old is None and layer_exists(spark, settings, layer):
+        raise ValueError(f"{table} is a plain table; drop it before it is kept in generations")
+    spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{GENERATION_OF}' = '{fresh}') AS SELECT * FROM {fresh}")
+    prefix, keep = table.split(".")[-1] + GENERATION, {fresh, old}
+    for found in spark.catalog.listTables(settings.namespace):
+        name = f"{settings.namespace}.{found.name}"
+        if found.name.startswith(prefix) and name not in keep:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def replace_dates(df: DataFrame, settings: Settings, layer: str, dates: Sequence[date] | None) -> None:
     """Replace the partitions ``dates`` of a layer partitioned by ``post_date`` with the rows of ``df``;
     None replaces the whole layer. A date that came back without rows is removed.
