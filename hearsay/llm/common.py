@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``: helper columns beside it can't clash with them.
+    ``select("row.*")`` brings them back."""
+    return F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row")
+
+
 def held_out(key: Column) -> Column:
     """Is the row in the held-out fold? A null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == 0, F.lit(False))

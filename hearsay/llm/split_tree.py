@@ -4,8 +4,7 @@ Documents fall into blocks by a hash of their id, a bounded number per source. E
 target is met by whole copies of the source plus blocks taken in permuted order while they fit.
 The drawn blocks of all sources form exact quotas, which a binary tree splits among the output
 shards: at each node the left half receives its share of blocks, and how many come from each
-source is one multivariate-hypergeometric draw, made of univariate draws down a binary tree over
-the sources. Then each source's permuted blocks are dealt to the shards by these counts, so
+source is one multivariate-hypergeometric draw. Then each source's permuted blocks are dealt to the shards by these counts, so
 blocks of different shards are disjoint, and a shard is ordered by a hash. All of it is DataFrame
 expressions; random numbers are hashes of a seed, so reruns agree.
 """
@@ -13,15 +12,18 @@ expressions; random numbers are hashes of a seed, so reruns agree.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hearsay.llm.common import stored, word_count
+from hearsay.llm.common import packed, stored, word_count
 
 #: Weights by the source's position, and the most copies of a source.
 WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCKS, SHARDS = 1024, 16
+#: Words that one task writes, about.
+TASK_WORDS = 1 << 22
 SEED = 20240701
 
 
@@ -70,7 +72,8 @@ def _log_factorial(n: Column) -> Column:
 
 def hypergeometric(uniform: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """How many of ``drawn`` blocks out of ``total`` are among the ``marked``: inversion of the
-    distribution function, summed over twelve standard deviations around the mean."""
+    distribution function, summed over twelve standard deviations around the mean. Each
+    probability follows from the one before."""
     n, k, m = total.cast("double"), marked.cast("double"), drawn.cast("double")
     low = F.greatest(F.lit(0).cast("long"), drawn + marked - total)
     high = F.least(drawn, marked)
@@ -80,56 +83,68 @@ def hypergeometric(uniform: Column, total: Column, marked: Column, drawn: Column
     start = F.greatest(low, F.floor(mean - 12 * spread - 12).cast("long"))
     stop = F.least(high, F.ceil(mean + 12 * spread + 12).cast("long"))
     choose = lambda a, b: _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
-    whole = choose(total, drawn)
-    state = F.struct(F.lit(0.0).alias("sum"), start.alias("at"), whole.alias("whole"))
 
     def step(acc: Column, x: Column) -> Column:
-        p = F.exp(choose(marked, x) + choose(total - marked, drawn - x) - acc["whole"])
-        return F.struct((acc["sum"] + p).alias("sum"),
-                        F.when(acc["sum"] <= uniform, x).otherwise(acc["at"]).alias("at"), acc["whole"].alias("whole"))
+        after = (marked - x) * (drawn - x) / ((x + 1) * (total - marked - drawn + x + 1)).cast("double")
+        return F.struct((acc["sum"] + acc["p"]).alias("sum"), (acc["p"] * after).alias("p"),
+                        F.when(acc["sum"] <= uniform, x).otherwise(acc["at"]).alias("at"))
 
-    return (F.when(low >= high, low)
-            .otherwise(F.aggregate(F.sequence(start, stop), state, step)["at"]))
+    def summed(first: Column) -> Column:
+        p = F.exp(choose(marked, first) + choose(total - marked, drawn - first) - choose(total, drawn))
+        state = F.struct(F.lit(0.0).alias("sum"), p.alias("p"), first.alias("at"))
+        return F.aggregate(F.sequence(first, stop), state, step)["at"]
 
+    return F.when(low >= high, low).otherwise(_bind(start, summed))
 
-def split_quotas(quotas: DataFrame, n_sources: int, shards: int = SHARDS) -> DataFrame:
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(sid, shard, n) from (sid, n): each source's blocks split exactly among the shards.
 
-    Shards' totals differ by at most one block. Each of the log2(shards) levels halves every
-    node; the counts go down a binary tree over source numbers, one univariate draw per tree
-    node, all nodes of a level at once.
+    Shards' totals differ by at most one block. Each of the log2(shards) levels halves every node; how
+    many of the left half's blocks come from each source is one multivariate-hypergeometric draw, made
+    source after source from what is left to draw. A node is one row with a number per source, so all
+    levels are one small job.
     """
-    levels = max(0, (n_sources - 1).bit_length())
     width = shards.bit_length() - 1
     if 1 << width != shards:
         raise ValueError("shards must be a power of two")
-    nodes = quotas.select("sid", F.lit(0).cast("long").alias("node"), F.col("n").cast("long").alias("n"))
+    counts = F.array_sort(F.collect_list(F.struct("sid", F.col("n").cast("long").alias("n"))))
+    nodes = quotas.agg(counts.alias("counts")).select(F.lit(0).cast("long").alias("node"), "counts")
     for turn in range(width):
-        rest = 1 << (width - turn - 1)
-        # blocks of every tree node over the sources, all levels in one aggregate
-        sums = stored(nodes.select("node", "n", "sid", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-                      .groupBy("node", "level", F.expr("cast(shiftright(sid, level) as bigint)").alias("group"))
-                      .agg(F.sum("n").alias("n")), "quota-sums")
-        # the left half holds the larger part of an odd number of blocks, fairly over the shards
-        drawn = sums.filter(F.col("level") == levels).select(
-            "node", "group", "n", _left_part(F.col("n"), rest).alias("x"))
-        for level in range(levels, 0, -1):
-            left = sums.filter((F.col("level") == level - 1) & (F.col("group") % 2 == 0)).select(
-                "node", F.shiftright("group", 1).alias("group"), F.col("n").alias("left"))
-            down = drawn.join(left, ["node", "group"], "left").fillna(0, ["left"])
-            u = _uniform(F.lit(turn), F.lit(level), F.col("node"), F.col("group"))
-            down = down.select("node", "group", "n", "x", "left",
-                               hypergeometric(u, F.col("n"), F.col("left"), F.col("x")).alias("y"))
-            drawn = down.select("node", F.explode(F.array(
-                F.struct((F.col("group") * 2).alias("group"), F.col("left").alias("n"), F.col("y").alias("x")),
-                F.struct((F.col("group") * 2 + 1).alias("group"), (F.col("n") - F.col("left")).alias("n"),
-                         (F.col("x") - F.col("y")).alias("x")))).alias("k")).select(
-                "node", "k.*").filter("n > 0")
-        nodes = stored(drawn.select(F.col("group").cast("int").alias("sid"), F.explode(F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("x").alias("n")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.col("x")).alias("n"))))
-            .alias("k")).select("sid", "k.*").filter("n > 0"), "quotas")
-    return nodes.select("sid", F.col("node").cast("int").alias("shard"), "n")
+        nodes = nodes.select(F.explode(_halves(turn, 1 << (width - turn - 1))).alias("k")).select("k.*")
+    return (nodes.select(F.col("node").cast("int").alias("shard"), F.explode("counts").alias("c"))
+            .select("c.sid", "shard", "c.n").filter("n > 0"))
+
+
+def _halves(turn: int, rest: int) -> Column:
+    """The two halves of a node, as (node, counts); the left one holds the larger part of an odd number
+    of blocks, fairly over the ``rest`` shards of each."""
+    node, counts, zero = F.col("node"), F.col("counts"), F.lit(0).cast("long")
+
+    def draw(total: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<sid:int,left:bigint,right:bigint>>)")
+        start = F.struct(total.alias("total"), _left_part(total, rest).alias("open"), none.alias("done"))
+
+        def step(acc: Column, x: Column) -> Column:
+            many = hypergeometric(_uniform(F.lit(turn), node, x["sid"]), acc["total"], x["n"], acc["open"])
+            return _bind(many, lambda y: F.struct(
+                (acc["total"] - x["n"]).alias("total"), (acc["open"] - y).alias("open"),
+                F.concat(acc["done"], F.array(F.struct(
+                    x["sid"].cast("int").alias("sid"), y.alias("left"), (x["n"] - y).alias("right")))).alias("done")))
+
+        return F.aggregate(counts, start, step)["done"]
+
+    def half(done: Column, number: Column, side: str) -> Column:
+        return F.struct(number.alias("node"), F.transform(
+            done, lambda d: F.struct(d["sid"].alias("sid"), d[side].alias("n"))).alias("counts"))
+
+    drawn = _bind(F.aggregate(counts, zero, lambda acc, x: acc + x["n"]), draw)
+    return _bind(drawn, lambda d: F.array(half(d, node * 2, "left"), half(d, node * 2 + 1, "right")))
 
 
 def _left_part(n: Column, rest: int) -> Column:
@@ -150,15 +165,18 @@ def mix_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> Dat
     order, each taken if it still fits, and at last with the smallest left over if that comes
     nearer to the target.
     """
+    return _planned(docs, blocks, shards)[0]
+
+
+def _planned(docs: DataFrame, blocks: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The plan and the targets."""
     rows = stored(docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
         F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(blocks)).cast("int").alias("block")), "sizes")
     held = rows.groupBy("source", "block").agg(F.sum("size").alias("size"))
     targets = stored(source_targets(rows), "targets")
     drawn = stored(_draw(held, targets), "drawn")
-    n_sources = targets.count()
-    quotas = drawn.groupBy("sid").agg(F.count("*").alias("n"))
-    shares = split_quotas(quotas, n_sources, shards)
+    shares = split_quotas(drawn.groupBy("sid").agg(F.count("*").alias("n")), shards)
     ends = shares.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("s"))
     ends = ends.select("sid", F.aggregate(
         "s", F.expr("cast(array() as array<struct<shard:int,until:bigint>>)"),
@@ -175,8 +193,9 @@ def mix_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> Dat
         F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block")), "left")
     plan = plan.select("r.doc_id", "r.source", "r.size",
                        F.coalesce("b.draws", F.array().cast("array<int>")).alias("draws"))
-    return plan.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
+    plan = plan.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
         "p.doc_id", "p.source", "p.size", "t.source_size", "t.target", "p.draws")
+    return plan, targets
 
 
 def _draw(held: DataFrame, targets: DataFrame) -> DataFrame:
@@ -211,16 +230,23 @@ def _draw(held: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "sid", "block", "copy", F.xxhash64("key", "copy").alias("key"))
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """The mixed documents: every column of ``docs``, a row per copy taken, dealt to ``shards``
-    partitions and put into a hashed order inside each.
+def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, task_words: int = TASK_WORDS) -> DataFrame:
+    """The mixed documents: every column of ``docs``, whatever their names, a row per copy taken, dealt
+    to ``shards`` shards and put into a hashed order inside each.
 
-    Rows with one id must have one source; the plan is joined back by id.
+    A shard is one partition, or as many in a row as keep a partition at about ``task_words`` words: the
+    hashes of the order are cut into equal ranges, so large inputs get more tasks, not larger ones.
+    Rows with one id must have one source; the plan is joined back by id and source.
     """
-    plan = mix_plan(docs, blocks, shards).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("draws").alias("_draws")).distinct()
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
-    rows = joined.select(*[docs[c] for c in docs.columns], F.posexplode("_draws").alias("_copy", "_shard"))
-    return (rows.repartition(shards, "_shard")
-            .sortWithinPartitions("_shard", F.xxhash64(F.lit(SEED + 2), docs["doc_id"], F.col("_copy")))
-            .select(*docs.columns))
+    plan, targets = _planned(docs, blocks, shards)
+    drawn = plan.filter(F.size("draws") > 0).select("doc_id", "source", "draws").distinct()
+    total = targets.agg(F.sum("target")).first()[0] or 0
+    pieces = max(1, math.ceil(total / shards / task_words))
+    rows = docs.select(packed(docs), F.col("doc_id"), F.col("source")).alias("d").join(
+        drawn.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")))
+    rows = rows.select("row", "d.doc_id", F.posexplode("draws").alias("copy", "shard"))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(SEED + 2), F.col("doc_id"), F.col("copy")))
+    # equal ranges of the signed hashes, in ascending order
+    piece = F.least(F.floor((F.col("place") / float(1 << 64) + 0.5) * pieces), F.lit(pieces - 1))
+    part = (F.col("shard") * pieces + piece).cast("int")
+    return rows.repartitionById(shards * pieces, part).sortWithinPartitions("place").select("row.*")
