@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hearsay.llm.common import held_out
+from hearsay.llm.common import held_out, quoted
 
 SAMPLE = 1600
+#: Slices of the hashes, by which the sample is bounded before it is sorted.
+SLICES = 4096
 SLOTS = 4096
 SEED = 11
 UNKNOWN = "und"
@@ -109,11 +111,23 @@ def fit_codes(profiles: np.ndarray, names: np.ndarray, rounds: int = 150) -> Cod
     return Codes(tuple(map(str, known)), code, weights.astype("f8"), bias.astype("f8"), trust)
 
 
+def _cutoffs(keys: DataFrame, share: int) -> DataFrame:
+    """(lang, cutoff): a hash below which a language has at least ``share`` rows, if it has them, and not
+    many more. Hashes are spread evenly, so slices of ``1 / SLICES`` of them hold about equal numbers."""
+    part = F.shiftright("h", 64 - SLICES.bit_length() + 1)
+    counts = keys.groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"), F.max("h").alias("top"))
+    upto = Window.partitionBy("lang").orderBy("part")
+    before = F.sum("n").over(upto) - F.col("n")
+    return (counts.withColumn("before", before).filter(F.col("before") < share)
+            .groupBy("lang").agg(F.max("top").alias("cutoff")))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
     """Fit on at most ``sample`` rows of ``docs`` with a language, outside the held-out fold.
 
     Every language gives the same number of rows at most, those with the smallest hashes of
-    their id; the limit applies on both sides of the shuffle, so a hot language costs no more.
+    their id. A bound on the hashes, from counts per slice of hashes, holds back all but about that
+    many rows of a language before any are brought together.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                          & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -121,9 +135,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
     if not found:
         return None
     share = max(1, sample // found)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (usable.select("doc_id", "lang").withColumn("_place", F.row_number().over(order))
-           .filter(F.col("_place") <= share).select("doc_id", "lang").distinct())
+    keys = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    bounds = _cutoffs(keys, share)  # a row per language
+    ids = (keys.join(F.broadcast(bounds) if found <= sample else bounds, "lang").filter(F.col("h") <= F.col("cutoff"))
+           .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share)
+           .select("doc_id", "lang").distinct())
     # at most ``sample`` narrow rows, a proven bound for the broadcast
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
 
@@ -169,7 +186,6 @@ def tagged(docs: DataFrame, model: Codes | None, *keep: str) -> DataFrame:
                       ((F.col("score") < CLEAR) & (F.col("lang_pred") != UNKNOWN)).alias("ambiguous"))
 
 
-
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) per row of ``docs``.
 
@@ -182,10 +198,10 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose language is known and not ambiguous, with their columns."""
+    """The rows of ``docs`` whose language is known and not ambiguous, with their columns, whatever their names."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
-    plain = docs.select(*[F.col(c).alias(i) for c, i in zip(names, inner)], F.col("text"))
+    plain = docs.select(*[quoted(c).alias(i) for c, i in zip(names, inner)], F.col("text"))
     out = tagged(plain, fit(docs, sample), *inner)
     kept = out.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
     return kept.select(*[F.col(i).alias(c) for c, i in zip(names, inner)])

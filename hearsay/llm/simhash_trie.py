@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearsay.llm.common import slots, stored
+from hearsay.llm.common import packed, slots, stored
 from hearsay.llm.components import components, merge_labels
 
 BITS, STEP = 64, 4
@@ -238,13 +238,14 @@ def one_per_group(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``one_per_group`` keeps of ``groups`` (id, key, fp, group)."""
+    """The rows of ``docs`` that ``one_per_group`` keeps of ``groups`` (id, key, fp, group). The names of
+    other columns may be any."""
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
     root = groups.groupBy(F.coalesce("group", "fp").alias("g"), F.col("group").isNull().alias("nameless")).agg(
         F.min(order).alias("m"))  # a group without any id goes by its fingerprint
     kept = root.select(*_row_key(F.col("m.id"), F.col("m.key"))).distinct()
-    rows = docs.select("*", *_row_key(F.col("doc_id"), text_key(F.col("text"))))
-    return rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    rows = docs.select(packed(docs), *_row_key(F.col("doc_id"), text_key(F.col("text"))))
+    return rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("row.*")
 
 
 def _row_key(id_: Column, key: Column) -> tuple[Column, Column]:

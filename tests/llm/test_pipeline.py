@@ -3,12 +3,13 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from hearsay.llm import bpe_rounds, code_language, pair_ranking
 from hearsay.llm.common import stored
-from tests.llm.test_text_operators import plain_fingerprint, plain_groups
+from tests.llm.test_shingle_copies import plain_kept
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +48,25 @@ def test_language_keeps_what_is_known_and_clear(steps):
 def test_one_document_of_each_group_stays(steps):
     before, after = steps["near_duplicates"]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    groups = plain_groups({i: plain_fingerprint(t) for i, t in texts.items()}, cp.NEAR_BITS)
-    assert ids(after) == Counter(set(groups.values()))
+    assert ids(after) == Counter(plain_kept(texts)[0])
+
+
+#: Names that the stages use inside, names with dots, and names of other case.
+CLASHES = ["_id", "_key", "_draws", "_shard", "_copy", "_source", "row", "place", "part", "draws", "copy", "score", "predicted",
+           "lang_pred", "ambiguous", "c0", "k0", "f", "cls", "fp", "group", "id", "key", "a.b", "`tick", "place.x"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES[:-1]])
+def test_stages_take_columns_of_any_name(spark, sf_dir, name):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    stage = dict(cp.STAGES)[name]
+    plain = ids(stage(spark, docs, sf_dir))
+    wide = docs.withColumns({c: F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")) for i, c in enumerate(CLASHES)})
+    out = stage(spark, wide, sf_dir)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert Counter(r["doc_id"] for r in rows) == plain and plain
+    assert all(r[c] == f"{i}:{r['doc_id']}" for r in rows for i, c in enumerate(CLASHES))
 
 
 def test_mix_takes_whole_documents(steps):
