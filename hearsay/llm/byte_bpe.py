@@ -20,11 +20,21 @@ from tokenizers import Tokenizer
 
 from hearsay.llm.bpe_rounds import byte_signs
 
-#: Fixed value: the splitting rule of byte-level files, for the characters that are not ``_RARE``.
-#: Numbers are digits, superscripts and vulgar fractions; an underscore is neither letter nor number.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+def _word_rule() -> re.Pattern:
+    """The splitting rule of byte-level files (contractions, letters, numbers, other signs, white space), with
+    its classes spelled out for the characters that are not ``_RARE``. Numbers are digits, superscripts
+    and vulgar fractions. Words come first, as nothing else can begin where they do."""
+    known = [chr(c) for c in range(0x250)]
+    letter = "".join(c for c in known if c.isalpha())
+    number, space = "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{number}{letter}]+"
+                      f"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 #: Python breaks lines at 1C to 1F and the library does not; classes are fixed up to U+024F.
-_RARE = re.compile("[^\\x00-\\x1b\\x20-ɏ‐-‧]")
+_RARE = re.compile("[^\\x00-\\x1b\\x20-\u024f\u2010-\u2027]")
+_WORD = _word_rule()
 #: Words a worker keeps, and the longest of them.
 KEPT, LONGEST = 400_000, 64
 #: Characters of texts that are encoded together.

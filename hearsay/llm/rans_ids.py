@@ -11,20 +11,16 @@ writes its segments again.
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hearsay.llm.bpe_rounds import byte_signs
+from hearsay.llm.byte_bpe import default_file, load, slices
 from hearsay.llm.common import stored
 
 END = 2
@@ -132,45 +128,9 @@ def unpack(data: bytes, only: int | None = None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, "u4")
 
 
-# -- tokenizing -----------------------------------------------------------------------------
-
-#: Fixed value: the splitting rule of byte-level files.
-PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-def default_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class ByteBpe:
-    """A byte-level tokenizers file, run by tiktoken: the same ids as the tokenizers library's at
-    a quarter of its processor time. Special tokens written in a text become their ids, as the
-    library does it."""
-
-    def __init__(self, path: str):
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
-        byte_of = {sign: b for b, sign in enumerate(byte_signs())}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(map(byte_of.__getitem__, name)): rank
-                 for name, rank in spec["model"]["vocab"].items() if name not in special}
-        self.run = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.run.encode_to_numpy(t, allowed_special="all") for t in texts]
-
-
-@lru_cache(maxsize=2)
-def load(path: str) -> ByteBpe:
-    """One per worker process and file."""
-    return ByteBpe(path)
-
-
 # -- writing and reading --------------------------------------------------------------------
 
 SEGMENT_SCHEMA = "part int, seq int, doc_ids array<long>, lengths array<int>, n_tokens long, payload binary"
-TOGETHER = 1 << 22
 
 
 def segments(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
@@ -188,11 +148,11 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = load(file or default_file()), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        size, last = 0, int(end).to_bytes(4, "little")
         for b in batches:
-            for names, texts in _slices(b):
-                for name, ids in zip(names, coder.encode(texts)):
-                    held.append((name, np.append(ids, np.uint32(end))))
+            for names, texts in slices(b):
+                for name, text in zip(names, texts):
+                    held.append((name, np.frombuffer(coder.encode(text) + last, "<u4")))
                     size += len(held[-1][1])
                     if size >= SEGMENT:
                         yield _segment(part, seq, held)
@@ -203,20 +163,6 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
     return ordered.mapInArrow(each, SEGMENT_SCHEMA)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """A batch in runs of about ``TOGETHER`` characters."""
-    names, texts, size = [], [], 0
-    for name, text in zip(batch.column(0), batch.column(1)):
-        names.append(name.as_py())
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield names, texts
-            names, texts, size = [], [], 0
-    if names:
-        yield names, texts
-
-
 def _segment(part: int, seq: int, held: list) -> pa.RecordBatch:
     ids = np.concatenate([i for _, i in held])
     values = [part, seq, [n for n, _ in held], [len(i) for _, i in held], len(ids), pack(ids)]

@@ -208,14 +208,6 @@ def test_word_bpe_of_odd_rows(odd):
     assert bpe_rounds.encode(odd.limit(0)).count() == 0
 
 
-@hyp(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B ", " c", "  ", "\n", "\t", "'s", "1", "!", " <|endoftext|>", "é", "　", "。"]), max_size=15))
-def test_byte_bpe_is_the_library(parts):
-    text = "".join(parts)
-    own, lib = rans_ids.load(rans_ids.default_file()), library(rans_ids.default_file())
-    assert own.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
-
-
 @hyp(max_examples=40, deadline=None)
 @given(st.integers(0, 70_000), st.integers(1, 60_000), st.integers(0, 99))
 def test_segments_round_trip(n, kinds, seed):
