@@ -13,6 +13,7 @@ a split into letters, single digits and other signs, bytes as symbols, word ends
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import struct
 import unicodedata
@@ -36,7 +37,9 @@ _RARE = regex.compile("[^\\x00-\u024f\u2010-\u2027]")
 #: Most characters of distinct words that one merge array holds.
 ARRAY = 1 << 18
 #: Distinct chunks whose ids a worker keeps.
-KEPT = 60_000
+KEPT = 200_000
+#: Bytes of a word from which on it is merged alone.
+LONG = 512
 
 
 def default_file() -> str:
@@ -113,7 +116,12 @@ class WordBpe:
         return [w.encode() for w in self.split.findall(chunk)]
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
+        """Ids of each word. Words of more than ``LONG`` bytes go one by one, as their many rounds would
+        pass over all others."""
+        long = {i: self._merge_long(w) for i, w in enumerate(words) if len(w) > LONG}
+        if long:
+            short = iter(self.encode_words([w for w in words if len(w) <= LONG]))
+            return [long[i] if i in long else next(short) for i in range(len(words))]
         out: list[np.ndarray] = []
         at = 0
         while at < len(words):
@@ -156,6 +164,58 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return np.split(symbol[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The same rounds for one word, but a round only touches the places where its pair stands and
+        their neighbours: places wait under the rank of their pair, and symbols are linked."""
+        raw = np.frombuffer(word, "u1")
+        symbol = self.inner[raw]
+        symbol[-1] = self.last[raw[-1]]
+        n = len(symbol)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The places whose pair can merge, and where its key stands."""
+            at = at[(at >= 0) & alive[at]]
+            at = at[after[at] < n]
+            key = symbol[at] * self.base + symbol[after[at]]
+            spot = np.searchsorted(self.keys, key)
+            spot[spot == len(self.keys)] = 0
+            known = self.keys[spot] == key
+            return at[known], spot[known]
+
+        def wait(at: np.ndarray) -> None:
+            at, spot = pairs(at)
+            order = np.argsort(self.ranks[spot], kind="stable")
+            at, rank = at[order], self.ranks[spot][order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, held in zip(rank[np.append(0, cuts)].tolist() if len(rank) else (), np.split(at, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(held)
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at, spot = pairs(np.unique(np.concatenate(waiting.pop(r))))
+            at, spot = at[self.ranks[spot] == r], spot[self.ranks[spot] == r]
+            if not len(at):
+                continue
+            # of a run of overlapping pairs, as in aaa, every second one merges
+            place = np.arange(len(at))
+            start = np.maximum.accumulate(np.where(np.append(True, after[at[:-1]] != at[1:]), place, 0))
+            taken = (place - start) % 2 == 0
+            at, spot = at[taken], spot[taken]
+            gone = after[at]
+            symbol[at], alive[gone] = self.made[spot], False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            wait(np.concatenate([before[at], at]))
+        return symbol[alive]
+
     @staticmethod
     def _overlapped(hit: np.ndarray) -> np.ndarray:
         """Every second one of a run of hits: as in aaa, where only the first pair can merge."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hearsay.llm import best_fit, byte_bpe, fill_middle, prefix_trie
+from hearsay.llm import best_fit, bpe_rounds, byte_bpe, fill_middle, prefix_trie
 from hearsay.llm.common import stored
 from hearsay.llm.queries import queries
 
@@ -64,6 +65,26 @@ def test_long_runs_are_encoded_as_the_library_does(library, text):
     assert ids_of(byte_bpe.load(byte_bpe.default_file()).encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "acgt", "a", "éàü", "!?."])
+@pytest.mark.parametrize("n", [511, 513, 100_000])
+def test_long_words_merge_as_the_library_does(letters, n):
+    """``op8``: one word of many letters, whose rounds touch only what they change."""
+    lib, rng = Tokenizer.from_file(bpe_rounds.default_file()), random.Random(n)
+    lib.no_truncation()
+    lib.no_padding()
+    text = "before " + "".join(rng.choice(letters) for _ in range(n)) + " after"
+    assert bpe_rounds.load(bpe_rounds.default_file()).encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_million_letters_take_seconds():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    ids = bpe_rounds.load(bpe_rounds.default_file()).encode([text])[0]
+    assert time.process_time() - began < 30
+    assert ids.tolist() == Tokenizer.from_file(bpe_rounds.default_file()).encode(text, add_special_tokens=False).ids
+
+
 def test_full_word_store_starts_again(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT", 5)
     own = byte_bpe.ByteBpe(byte_bpe.default_file())
