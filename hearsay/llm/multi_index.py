@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hearsay.llm.common import slots, stored
 from hearsay.llm.components import components, merge_labels
-from hearsay.llm.vectors import blocks, codebook, matrix, runs, sample_matrix, squared, unit, usable
+from hearsay.llm.vectors import SEED, blocks, closest, codebook, matrix, runs, sample_matrix, squared, unit, usable
 
 SAMPLE = 4096
 #: Vectors of a label and cell that the grid's size aims at, and the share of links to find.
@@ -76,19 +76,51 @@ def traverse(first: list[float], second: list[float], stop: float) -> Iterator[t
 
 
 def fit_grid(sample: np.ndarray, in_label: int, least: float, recall: float | None = RECALL) -> Grid:
-    """Codebooks sized for ``in_label`` vectors of the largest label.
+    """Codebooks sized for ``in_label`` vectors of the largest label, and the stop.
 
-    The stop: a link is at most 2 - 2 ``least`` away, squared. If its direction is as good as
-    random, its parts across two planes reach a squared length s with chance exp(-s d / 2 D) for
-    d dimensions and a squared length D; the stop leaves out 1 - ``recall`` of the links at the
-    very threshold. With ``recall`` None the stop is D itself, and no link can be missed.
+    A link is at most 2 - 2 ``least`` away, squared; with ``recall`` None that is the stop, and no link can
+    be missed. Otherwise every sampled vector gets partners at exactly that distance: towards another
+    sampled vector, towards its nearest one, and in a random direction, so that links along the table's
+    own main directions count as much as links that go anywhere. The stop is what the ``recall`` share
+    of the partners needs to be met, by the kind of partner that needs most.
     """
     far, wide = 2 - 2 * least, sample.shape[1]
     k = max(1, min(256, math.ceil(math.sqrt(in_label / IN_CELL))))
     cut = max(1, wide // 2)
-    stop = far if recall is None else min(far, -2 * math.log(1 - recall) * far / wide)
     second = codebook(sample[:, cut:], k) if wide > 1 else np.zeros((1, 0))
-    return Grid(codebook(sample[:, :cut], k), second, stop)
+    grid = Grid(codebook(sample[:, :cut], k), second, far)
+    if recall is None or k == 1 or len(sample) < 2:
+        return grid
+    draw = np.random.default_rng(SEED)
+    others = np.concatenate([sample[draw.permutation(len(sample))] for _ in range(4)])
+    towards = [others, _nearest_other(sample), draw.normal(size=(4 * len(sample), wide))]
+    needed = [_needed(grid, np.tile(sample, (len(t) // len(sample), 1)), t, least) for t in towards]
+    return replace(grid, stop=min(far, max(float(np.quantile(n, recall, method="higher")) for n in needed)))
+
+
+def _nearest_other(rows: np.ndarray) -> np.ndarray:
+    """The row nearest to each row, apart from itself."""
+    found = []
+    for at in range(0, len(rows), 1024):
+        d = squared(rows[at:at + 1024], rows)
+        d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+        found.append(rows[d.argmin(1)])
+    return np.concatenate(found)
+
+
+def _needed(grid: Grid, rows: np.ndarray, towards: np.ndarray, least: float) -> np.ndarray:
+    """The stop at which each row's traversal meets the cell of its partner: the unit vector at cosine
+    ``least`` from it in the direction of ``towards``."""
+    out = []
+    for at in range(0, len(rows), 1024):
+        row, aim = rows[at:at + 1024], towards[at:at + 1024]
+        aim = aim - (aim * row).sum(1)[:, None] * row
+        size = np.linalg.norm(aim, axis=1, keepdims=True)
+        partner = least * row + math.sqrt(1 - least * least) * aim / np.maximum(size, 1e-12)
+        cut, i = grid.first.shape[1], np.arange(len(row))
+        out.append(_beyond(row[:, :cut], grid.first)[i, closest(partner[:, :cut], grid.first)]
+                   + _beyond(row[:, cut:], grid.second)[i, closest(partner[:, cut:], grid.second)])
+    return np.concatenate(out)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float | None = RECALL,
@@ -149,7 +181,7 @@ def _links(classes: DataFrame, grid: Grid, dim: int, least: float, parts: int) -
     kind, vec = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     placed = stored(classes.select("label", "dim", "vec", "id", "n").mapInArrow(
         place, f"label {kind}, dim int, vec {vec}, id long, n long, own long, met array<long>"), "vector-cells")
-    # labels as numbers: equal labels have equal hashes, and verification compares the label
+    # labels as numbers: equal labels have equal hashes, and verification compares another hash of the label
     named = placed.withColumn("group", F.xxhash64("label")).withColumn("tag", F.hash("label"))
     columns = ["group", "dim", "cell", "id", "n", "own", "tag", "vec"]
     residents = named.withColumn("cell", F.col("own")).select(*columns)

@@ -39,7 +39,7 @@ def codebook(rows: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     draw = np.random.default_rng(SEED)
     centres = distinct[draw.permutation(len(distinct))[:k]]
     for _ in range(rounds):
-        near = squared(rows, centres).argmin(1)
+        near = closest(rows, centres)
         count = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, rows)
@@ -47,6 +47,12 @@ def codebook(rows: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
+def closest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row, a thousand rows at a time."""
+    return np.concatenate([squared(rows[i:i + 1024], centres).argmin(1) for i in range(0, len(rows), 1024)]
+                          or [np.zeros(0, "i8")])
+
+
 def squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances of all rows to all centres."""
     cross = rows @ centres.T
