@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import column_scan, components, multi_index, split_tree, url_trees
 from hearsay.llm.queries import queries
+from hearsay.llm.vectors import unit
 
 
 # -- components -----------------------------------------------------------------------------
@@ -38,6 +39,33 @@ def test_components_are_the_plain_ones(spark, links):
     assert {r["node"]: r["root"] for r in got} == plain_roots(links) and len(got) == len(plain_roots(links))
 
 
+@pytest.mark.parametrize("hub", [3, 1 << 17])
+def test_components_of_hubs_and_many_batches(spark, monkeypatch, hub):
+    """Stars around a small, a middle and a large node, chains between them, and random links; batches
+    of seven rows, so that groups span several."""
+    monkeypatch.setattr(components, "HUB", hub)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(hub)
+        links = [(0, i) for i in range(100, 160)] + [(1000, i) for i in range(200, 260)] + [(500, 400 + i) for i in range(200)]
+        links += [(i, i + 1) for i in range(2000, 2100)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(70)]
+        links += [(155, 2050), (255, 2099)] + links[:50]
+        rng.shuffle(links)
+        got = components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+        assert {r["node"]: r["root"] for r in got} == plain_roots(links) and len(got) == len(plain_roots(links))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@hyp(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_components_of_any_links(links):
+    from pyspark.sql import SparkSession
+    session = SparkSession.getActiveSession()
+    got = components.components(session.createDataFrame(links, "a long, b long").coalesce(2)).collect()
+    assert {r["node"]: r["root"] for r in got} == plain_roots(links)
+
+
 # -- vectors --------------------------------------------------------------------------------
 
 def awkward_vectors(spark):
@@ -249,6 +277,22 @@ def test_mix_of_odd_and_no_rows(spark):
     assert split_tree.mix_plan(docs.limit(0)).count() == 0 and split_tree.mix(docs.limit(0)).count() == 0
 
 
+def test_shards_are_partitions_and_large_ones_are_cut(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    words = lambda rows: sum(len((r["text"] or "").split()) for r in rows)
+    plan = {r["doc_id"]: Counter(r["draws"]) for r in split_tree.mix_plan(docs, shards=4).collect()}
+    for task_words, pieces in ((1 << 22, 1), (25_000, None)):
+        mixed = split_tree.mix(docs, shards=4, task_words=task_words)
+        parts = mixed.select("doc_id", "text", F.spark_partition_id().alias("p")).collect()
+        by = {p: [r for r in parts if r["p"] == p] for p in range(mixed.rdd.getNumPartitions())}
+        assert all(by.values()) and (pieces is None or len(by) == 4 * pieces)
+        sizes, each = [words(v) for v in by.values()], len(by) // 4
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+        for p, rows in by.items():  # disjoint shards, in the order of their parts
+            assert all(plan[r["doc_id"]][p // each] > 0 for r in rows)
+        assert Counter(r["doc_id"] for r in parts) == Counter({d: sum(c.values()) for d, c in plan.items() if c})
+
+
 def test_hypergeometric_draws_follow_the_law(spark):
     n, marked, drawn = 60, 25, 20
     df = spark.range(20000).select(split_tree.hypergeometric(
@@ -263,7 +307,7 @@ def test_hypergeometric_draws_follow_the_law(spark):
 @pytest.mark.parametrize("quotas, shards", [([7, 0, 100, 3, 1], 8), ([1], 4), ([1000, 999], 16), ([5, 5, 5], 1)])
 def test_quotas_split_exactly(spark, quotas, shards):
     rows = [(i, q) for i, q in enumerate(quotas) if q]
-    got = split_tree.split_quotas(spark.createDataFrame(rows, "sid int, n long"), len(quotas), shards).collect()
+    got = split_tree.split_quotas(spark.createDataFrame(rows, "sid int, n long"), shards).collect()
     per_source, per_shard = Counter(), Counter()
     for r in got:
         assert r["n"] > 0
@@ -272,3 +316,46 @@ def test_quotas_split_exactly(spark, quotas, shards):
     assert per_source == Counter(dict(rows))
     low = sum(quotas) // shards
     assert all(low <= per_shard[s] <= low + 1 for s in range(shards))
+
+
+@pytest.mark.parametrize("exponent", [0, 1, 1.5, 2])
+@pytest.mark.parametrize("in_label", [12_000, 400_000])
+def test_grid_meets_links_of_any_spectrum(exponent, in_label):
+    """Pairs just above the threshold, whose differences have the table's own spectrum."""
+    rng, n, wide, cosine = np.random.default_rng(1), 6000, 64, 0.933
+    scale = np.arange(1, wide + 1) ** (-exponent / 2)
+    one = unit(rng.normal(size=(n, wide)) * scale)
+    away = rng.normal(size=(n, wide)) * scale
+    away -= (away * one).sum(1)[:, None] * one
+    two = cosine * one + np.sqrt(1 - cosine ** 2) * unit(away)
+    rows = np.concatenate([one, two])
+    grid = multi_index.fit_grid(rows[rng.permutation(len(rows))[:4096]], in_label, 0.93)
+    assert len(grid.first) >= 10
+    own, met = grid.cells(np.concatenate([one[:400], two[:400]]))
+    seen = [set(m) for m in met]
+    # a pair is met from the smaller of its two cells
+    found = [own[i] == own[400 + i] or max(own[i], own[400 + i]) in seen[i if own[i] < own[400 + i] else 400 + i] for i in range(400)]
+    assert np.mean(found) >= 0.99
+    assert np.mean([len(m) for m in met]) < 0.5 * len(grid.first) ** 2
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=w).tolist()) for i, w in enumerate([8] * 300 + [3] * 40 + [2] * 3 + [1] * 2)]
+    rows += [(1000, rows[7][1]), (1050, [1.0, 2.0]), (1100, [0.0, 0.0]), (1150, None), (1200, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"dim": F.lit("clash"), "list": F.lit(0)})
+    got = {}
+    for r in column_scan.nearest(df, every=5, k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    usable = {i: np.array(v) for i, v in rows if v and np.isfinite(v).all() and np.any(v)}
+    hits = total = 0
+    for q in (i for i in usable if i % 5 == 0):
+        same = [(-(v @ usable[q]) / np.linalg.norm(v) / np.linalg.norm(usable[q]), i) for i, v in usable.items()
+                if i != q and len(v) == len(usable[q])]
+        want = [i for _, i in sorted(same)[:4]]
+        found = sorted(got.get(q, []))
+        assert [r for r, _, _ in found] == list(range(1, len(want) + 1))
+        hits, total = hits + len({i for _, i, _ in found} & set(want)), total + len(want)
+        if len(usable[q]) != 8:  # one list: exact
+            assert [i for _, i, _ in found] == want
+    assert hits >= 0.97 * total and not set(got) & {1100, 1150, 1200}
