@@ -36,6 +36,8 @@ class Settings:
     retain_months: bool = True
     #: Layers and marts as views of generations, so that a rewrite is one switch for readers.
     generations: bool = False
+    #: Buckets by id of the stored silver and gold; 0 stores them without.
+    buckets: int = 0
 
     def table(self, name: str) -> str:
         """Qualified table name of a layer or a mart."""

@@ -81,19 +81,19 @@ def rescore_changed(
 
     ``gold`` must hold one row per id, labelled by the same scorers. Only ids, text hashes and
     labels of gold are joined; scorers get NULL, which costs them nothing, for posts they have
-    seen. Worth it for slow models; word lists are cheaper than the join.
+    seen. Worth it for slow models; word lists are cheaper than the join. Tables bucketed alike by id
+    are joined without a shuffle.
     """
     labels = [c for s in scorers for c in (s.name, f"{s.name}_confidence")]
     known = gold.select(
         F.col("id").alias("_id"),
         F.xxhash64(combined_text()).alias("_hash"),
         *[F.col(c).alias(f"_old_{c}") for c in labels],
-        F.lit(True).alias("_known"),
     )
     text = combined_text()
-    joined = silver.join(
-        known, (F.col("id") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left"
-    ).withColumn("_text", F.when(F.col("_known").isNull(), text))
+    joined = silver.join(known, F.col("id") == F.col("_id"), "left")
+    joined = joined.withColumn("_known", F.xxhash64(text).eqNullSafe(F.col("_hash")))
+    joined = joined.withColumn("_text", F.when(~F.col("_known"), text))
     fresh = _scored(joined, scorers, keep_errors)
     errors = [f"{s.name}_error" for s in scorers] if keep_errors else []
     return fresh.select(*silver.columns, *[

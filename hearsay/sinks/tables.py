@@ -123,19 +123,21 @@ def advance_progress(spark: SparkSession, settings: Settings, state: Progress) -
 
 def laid_out(
     df: DataFrame, by_post_date: bool = False, cluster_by: Sequence[str] = (),
-    partitions: int | None = None,
+    partitions: int | None = None, interleave: bool = False,
 ) -> DataFrame:
     """Arrange rows for the files they are written to.
 
     ``by_post_date`` gathers each date in few files. ``cluster_by`` sorts rows by range, so
     that file and row-group statistics let readers skip; the id is the last range key, which
-    splits a value that holds a large share of all rows over many files.
+    splits a value that holds a large share of all rows over many files. With ``interleave`` the columns
+    count alike: the first key is ``interleaved``, so a filter on any of them alone skips files.
     """
     if by_post_date:
         df = df.withColumn("post_date", post_date())
     days = ["post_date"] if by_post_date else []
     if cluster_by:
-        keys = [F.col(c) for c in (*days, *cluster_by, "id")]
+        first = [interleaved(df, cluster_by)] if interleave else []
+        keys = [*map(F.col, days), *first, *map(F.col, (*cluster_by, "id"))]
         ranged = (
             df.repartitionByRange(*keys) if partitions is None
             else df.repartitionByRange(partitions, *keys)
@@ -146,26 +148,64 @@ def laid_out(
     return df
 
 
+#: Rows and steps from which the ranges of a clustered column are found; they only shape the files.
+RANGE_SAMPLE, RANGE_BITS = 10_000, 6
+
+
+def interleaved(df: DataFrame, columns: Sequence[str]) -> Column:
+    """One sort key of several columns: the bits of their range numbers, in turns.
+
+    A column's values are cut into 2 ** ``RANGE_BITS`` ranges of about equal numbers of rows, by the
+    ``RANGE_SAMPLE`` rows with the smallest hashes of their id. NULL comes first.
+    """
+    sample = df.select("id", *columns).orderBy(F.xxhash64("id")).limit(RANGE_SAMPLE).select(*columns).collect()
+    key, steps = F.lit(0).cast("long"), 1 << RANGE_BITS
+    for j, c in enumerate(columns):
+        held = sorted(r[c] for r in sample if r[c] is not None)
+        ends = sorted({held[len(held) * i // steps] for i in range(1, steps)}) if held else []
+        bounds = F.array(*map(F.lit, ends)) if ends else None
+        number = F.lit(0) if bounds is None else F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(c))) + 1, F.lit(0))
+        number = F.least(F.when(F.col(c).isNull(), 0).otherwise(number), F.lit(steps - 1)).cast("long")
+        for i in range(RANGE_BITS):
+            bit = F.shiftright(number, i).bitwiseAND(F.lit(1).cast("long"))
+            key = key.bitwiseOR(F.shiftleft(bit, i * len(columns) + j))
+    return key
+
+
+BUCKETED = ("silver", "gold")
+
+
 def write_layer(
     df: DataFrame, settings: Settings, layer: str, by_post_date: bool = False,
     cluster_by: Sequence[str] = (), partitions: int | None = None,
-    tally: Mapping[str, Column] | None = None, drop: Sequence[str] = (),
+    tally: Mapping[str, Column] | None = None, drop: Sequence[str] = (), interleave: bool = False,
 ) -> dict[str, int]:
     """Replace a layer's rows and schema; returns ``rows`` and the other aggregates asked for.
 
     Rows are counted in the tasks that write them, so the frame is not computed twice and a
     retried task counts once. ``drop`` removes helper columns after the ``tally``.
+
+    With ``Settings.buckets`` silver and gold are bucketed and sorted by id instead of clustered: what is
+    joined by id reads both without a shuffle. A task writes one bucket.
     """
     seen = Observation(f"write_{layer}")
     counts = {"rows": F.count(F.lit(1)), **(tally or {})}
+    buckets = settings.buckets if layer in BUCKETED else 0
+    if buckets:
+        rows = laid_out(df, by_post_date).repartition(buckets, "id")
+        rows = rows.sortWithinPartitions(*(["post_date"] if by_post_date else []), "id")
+    else:
+        rows = laid_out(df, by_post_date, cluster_by, partitions, interleave)
     writer = (
-        laid_out(df, by_post_date, cluster_by, partitions)
+        rows
         .observe(seen, *[c.alias(name) for name, c in counts.items()])
         .drop(*drop)
         .write.mode("overwrite").format("parquet")
     )
     if by_post_date:
         writer = writer.partitionBy("post_date")
+    if buckets:
+        writer = writer.bucketBy(buckets, "id").sortBy("id")
     table = settings.table(layer)
     if settings.generations:
         fresh = f"{table}{GENERATION}{uuid.uuid4().hex}"
