@@ -104,7 +104,8 @@ def test_days_close_once_and_late_posts_are_merged(spark, sf_dir):
     base = shared_scratch(spark, "closing")
     posts = sample_posts(spark, sf_dir).where("id % 10 <> 0 OR load_date < created_at + INTERVAL 36 HOURS")
     day = F.to_date("created_at")
-    late = (day < F.lit("2024-01-03")) & (F.col("id").cast("long") % 4 == 1)
+    # of two days a quarter is late, of a third one all
+    late = (day < F.lit("2024-01-03")) & (F.col("id").cast("long") % 4 == 1) | (day == F.lit("2024-01-04"))
     parts = [(day < F.lit("2024-01-09")) & ~late, (day >= F.lit("2024-01-09")) & (day < F.lit("2024-01-15")) | late, day >= F.lit("2024-01-15")]
     stored = posts.withColumn("post_date", day)
     schema = stored.schema
@@ -117,9 +118,9 @@ def test_days_close_once_and_late_posts_are_merged(spark, sf_dir):
     missing = days.late_days(closed, every).collect()
     lost = posts.where(late).count()
     assert sum(r["stored"] - r["counted"] for r in missing) == lost > 0
-    assert days.merge_late(spark, f"{base}/parts", every, f"{base}/late", _label) == len(missing) == 2
+    assert days.merge_late(spark, f"{base}/parts", every, f"{base}/late", _label) == len(missing) == 3
     assert days.merge_late(spark, f"{base}/parts", every, f"{base}/late", _label) == 0
-    assert spark.read.parquet(f"{base}/late").count() == 2
+    assert spark.read.parquet(f"{base}/late").count() == 3
     got = days.metrics_of_days(spark.read.parquet(f"{base}/parts"))
     last = got.agg(F.max("post_date")).first()[0]
     newest = posts.agg(F.max(day)).first()[0]
