@@ -311,7 +311,7 @@ def _batch_queries() -> dict[str, Query]:
         "subreddit_topics": _subreddit_topics,
         "subreddit_similarity": _similar,
         "subreddit_graph": lambda spark, sf: graph.subreddit_graph(
-            _members(spark, sf), graph._kept(_similar(spark, sf), "edges")),
+            _members(spark, sf), graph.kept(_similar(spark, sf), "edges")),
         "author_degrees": lambda spark, sf: graph.author_degrees(_members(spark, sf)),
         # exploration
         "kpis": _on_silver(ex.kpis, *KPI),

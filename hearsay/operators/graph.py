@@ -66,8 +66,8 @@ def candidates(index: DataFrame, least: Fraction) -> DataFrame:
 def similar_subreddits(members: DataFrame, least: Fraction = Fraction(1, 2)) -> DataFrame:
     """(a, b, shared, jaccard), a < b: all pairs of subreddits whose sets of authors have a Jaccard
     similarity of at least ``least``, with the number of authors they share."""
-    members = _kept(members, "memberships")
-    found = _kept(candidates(prefixes(members, least), least), "candidates")
+    members = kept(members, "memberships")
+    found = kept(candidates(prefixes(members, least), least), "candidates")
     of_small = members.withColumnRenamed("subreddit", "small")
     of_large = members.withColumnRenamed("subreddit", "large")
     shared = (found.join(of_small, "small").join(of_large, ["large", "author"])
@@ -91,7 +91,7 @@ def communities(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbour, then a node's smaller neighbours to the smallest of them. Chains halve, so rounds grow with
     the logarithm of the longest one. Every round is written to the shared folder, which cuts the lineage.
     """
-    links = _kept(_downwards(edges.select("a", "b")), "links")
+    links = kept(_downwards(edges.select("a", "b")), "links")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     before = None
     for _ in range(max_rounds):
@@ -104,7 +104,7 @@ def communities(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = ways.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = _downwards(ways.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        links = _kept(_downwards(large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        links = kept(_downwards(large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
                                  .unionByName(low.select("a", F.col("low").alias("b")))), "links")
     raise RuntimeError(f"communities not settled after {max_rounds} rounds")
 
@@ -131,7 +131,7 @@ def subreddit_graph(members: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce("community", "subreddit").alias("community"))
 
 
-def _kept(df: DataFrame, purpose: str) -> DataFrame:
+def kept(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back."""
     path = shared_scratch(df.sparkSession, purpose)
     df.write.parquet(path)

@@ -26,7 +26,7 @@ def gold(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def sums(spark, gold):
-    placed = graph._kept(st.new_numbers(gold, spark.createDataFrame([], "author string, number long"), 1), "placed")
+    placed = graph.kept(st.new_numbers(gold, spark.createDataFrame([], "author string, number long"), 1), "placed")
     numbers = st.numbered(placed)
     return st.post_states(gold).persist(), st.author_states(gold, numbers).persist(), numbers
 
@@ -163,7 +163,7 @@ def test_similar_subreddits_are_those_of_all_pairs(spark, least):
     rows = [(s, a) for s, held in sets.items() for a in held]
     rows += [(None, "a1"), ("s01", None)] + rows[:20]
     members = graph.memberships(spark.createDataFrame(rows, "subreddit string, author string"))
-    found = graph._kept(graph.similar_subreddits(members, Fraction(least)), "test-edges")
+    found = graph.kept(graph.similar_subreddits(members, Fraction(least)), "test-edges")
     want = plain_similar(sets, Fraction(least))
     assert {(r["a"], r["b"]): r["shared"] for r in found.collect()} == want and found.count() == len(want)
     root = {s: s for s in sets}
