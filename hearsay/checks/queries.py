@@ -26,7 +26,7 @@ from hearsay.operators.topk import top_per_group, top_rows
 from hearsay.plans.layers import build_gold, build_silver, label_then_dedup
 from hearsay.functions.numbers import avg_confidence
 from hearsay.scoring import enrich
-from hearsay.scoring.fitted import fit, load_model, save_model
+from hearsay.scoring.fitted import fit_best, load_model, save_model
 from hearsay.scoring.word_table import learn_words, score_words
 from hearsay.session import shared_scratch
 from hearsay.scoring.enrich import enrich_by_language, enrich_topics
@@ -153,11 +153,20 @@ def _marked(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id").withColumn("held_out", held)
 
 
+#: Folders of the models of this process, by session and scale.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
 def _fitted(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts of a model fitted to four folds, on the fifth; the model goes through its table."""
-    marked = _marked(spark, sf)
-    path = shared_scratch(spark, "model")
-    save_model(spark, fit(marked.where("NOT held_out"), "text", F.col("truth") == "toxic", "verdict", VERDICTS), path)
+    """Verdicts of a model fitted to four folds, on the fifth, which took no part in choosing the penalty
+    either; the model goes through its table. One fit serves all queries of a session and scale."""
+    marked, key = _marked(spark, sf), (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        path = shared_scratch(spark, "model")
+        model, _ = fit_best(marked.where("NOT held_out"), "text", F.col("truth") == "toxic", "verdict", VERDICTS)
+        save_model(spark, model, path)
+        _MODELS[key] = path
+    path = _MODELS[key]
     return load_model(spark, path).score(marked.where("held_out"), "text")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hearsay.checks.queries import VERDICTS, _marked, queries
 from hearsay.operators import insights as ins
 from hearsay.scoring import enrich
-from hearsay.scoring.fitted import FittedScorer, fit, load_model, save_model
+from hearsay.scoring.fitted import FittedScorer, choosing_fold, fit, fit_best, load_model, save_model
 from hearsay.scoring.word_table import counted_words, learn_words, score_words
 from hearsay.session import shared_scratch
 from hearsay.sources.sample_posts import tone_of_documents
@@ -62,6 +62,33 @@ def test_one_label_or_no_rows_still_fit(spark, rows, label):
     assert model.score(spark.createDataFrame([("b",)], "text string"), "text").first()["v"] == label
 
 
+def test_penalty_is_chosen_on_texts_its_fit_has_not_seen(spark, sf_dir):
+    """F1 of each penalty by plain counting; the winner is fitted to all rows."""
+    toxic, small = F.col("truth") == "toxic", {"dims": 256, "rounds": 8}
+    marked = _marked(spark, sf_dir).where("NOT held_out").withColumn("inner", choosing_fold(F.col("text"))).persist()
+    strengths = (0.5, 0.01)
+    model, f1 = fit_best(marked, "text", toxic, "v", VERDICTS, strengths, **small)
+    for s in strengths:
+        tried = fit(marked.where("NOT inner"), "text", toxic, "v", VERDICTS, strength=s, **small)
+        rows = [(r["truth"] == "toxic", r["v"] == "toxic")
+                for r in tried.score(marked.where("inner AND truth IS NOT NULL"), "text").collect()]
+        both, either = sum(a and b for a, b in rows), sum(a for a, _ in rows) + sum(b for _, b in rows)
+        assert f1[s] == pytest.approx(2 * both / max(either, 1))
+    best = max(strengths, key=lambda s: (f1[s], s))
+    assert model == fit(marked, "text", toxic, "v", VERDICTS, strength=best, **small)
+    copies = marked.groupBy("text").agg(F.count_distinct("inner").alias("sides"))
+    assert copies.where("sides > 1").isEmpty()
+    marked.unpersist()
+
+
+@pytest.mark.parametrize("rows", [[("a", "toxic")], [("a", None)], [], [("", "clean"), (None, "clean")]])
+def test_choosing_takes_one_label_or_no_rows(spark, rows):
+    df = spark.createDataFrame(rows, "text string, truth string")
+    model, f1 = fit_best(df, "text", F.col("truth") == "toxic", "v", VERDICTS, dims=8)
+    assert set(f1.values()) <= {0.0, 1.0}
+    assert model.score(spark.createDataFrame([("b",)], "text string"), "text").count() == 1
+
+
 def test_words_are_counted_where_the_text_is(spark):
     texts = ["b a b", "", None, "...", "A a\na", "one", "x1y x1y"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", counted_words(F.col("text")).alias("w"))
