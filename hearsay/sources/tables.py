@@ -61,9 +61,14 @@ def read_progress(spark: SparkSession, settings: Settings) -> Progress:
     return Progress(date(int(row["year"]), int(row["month"]), row["day"]))
 
 
-def stage_gold(gold: DataFrame, view: str | None = None) -> DataFrame:
-    """The staged columns of gold, in order; ``view`` also names them as a temporary view."""
-    staged = gold.select(*STAGED_COLUMNS)
+def stage_gold(gold: DataFrame, view: str | None = None, dated: bool = False) -> DataFrame:
+    """The staged columns of gold, in order; ``view`` also names them as a temporary view.
+
+    ``dated`` keeps ``post_date`` as a last column where gold is stored by it, so that a range of days over
+    the staged posts opens the folders of these days only. Gold without that column is staged as usual.
+    """
+    days = ["post_date"] if dated and "post_date" in gold.columns else []
+    staged = gold.select(*STAGED_COLUMNS, *days)
     if view is not None:
         staged.createOrReplaceTempView(view)
     return staged

@@ -3,12 +3,15 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from hearsay.checks.queries import FIRST, LAST, queries
 from hearsay.functions.filters import between_days, on_day, safe_only
 from hearsay.scoring import enrich
 from hearsay.sinks.tables import laid_out
 from hearsay.sources.sample_posts import prose_scorers, sample_posts
+from hearsay.sources.tables import STAGED_COLUMNS, stage_gold
+from tests.compare import spark_rows
 
 BATCH = sorted(n for n in queries() if not n.startswith("stream"))
 
@@ -91,6 +94,18 @@ def test_days_prune_a_layer_by_post_date(spark, tmp_path, sf_dir):
     assert "post_date" in filters
 
 
+def test_days_prune_the_staged_view_of_a_layer_by_post_date(spark, tmp_path, sf_dir):
+    path = f"{tmp_path}/gold"
+    extra = {c: F.lit(None).cast("string") for c in STAGED_COLUMNS if c not in sample_posts(spark, sf_dir).columns}
+    laid_out(sample_posts(spark, sf_dir).withColumns(extra), by_post_date=True).write.partitionBy("post_date").parquet(path)
+    gold = spark.read.parquet(path)
+    stage_gold(gold, "dated_posts", dated=True)
+    ranged = between_days(spark.table("dated_posts"), FIRST, LAST).select("id")
+    assert "post_date" in _plan(ranged).split("PartitionFilters: [")[1].split("]")[0]
+    assert spark_rows(ranged) == spark_rows(between_days(stage_gold(gold), FIRST, LAST).select("id"))
+    assert stage_gold(gold).columns == stage_gold(gold.drop("post_date"), dated=True).columns == list(STAGED_COLUMNS)
+
+
 def test_posts_outside_the_days_are_not_scored(spark, sf_dir):
     plan = _plan(queries()["dominant_sentiment"](spark, sf_dir))
     assert "THEN concat_ws(" in plan
