@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,50 @@ def dedup_latest(
         .where(F.col("_rank") == 1)
         .drop("_row_hash", "_rank")
     )
+
+
+#: Bits of the map of ids that ``split_by_ids`` broadcasts, as a power of two, and the rows it is made of at most.
+MAP_BITS = 26
+MAP_WORDS = 1 << (MAP_BITS - 6)
+
+
+def _place(key: str) -> Column:
+    """The bit of a key in the map; NULL has one too."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << MAP_BITS))
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(free, suspect): ``suspect`` has every row whose key is in ``ids``, NULL included, and a few others;
+    ``free`` has the rest, none of whose keys is in ``ids``.
+
+    Neither side is shuffled. The keys become a map of bits, at most ``MAP_WORDS`` rows of two longs whatever
+    their number, a proven bound for the broadcast. Keys that share a bit only make ``suspect`` larger, so
+    callers must treat it by the exact rule.
+    """
+    bits = ids.select(_place(key).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    marked = df.withColumn("_at", _place(key)).withColumn("_word", F.shiftright("_at", 6)).join(
+        F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", F.col("_at") % 64) == 1, F.lit(False))
+    return tuple(marked.where(c).select(*map(_named, df.columns)) for c in (~hit, hit))
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def repeated(df: DataFrame, key: str = "id") -> DataFrame:
+    """The keys that come up more than once; only this column is read and shuffled."""
+    return df.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+
+
+def dedup_wide(
+    df: DataFrame, key: str = "id", keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``dedup_latest``, or another choice ``keep`` of one row per key, for rows that carry texts.
+
+    A row whose key comes up once stays and is not shuffled. The frame is read three times, once for the
+    keys alone; ``df`` has to give the same rows each time.
+    """
+    single, several = split_by_ids(df, repeated(df, key), key)
+    return single.unionByName((keep or (lambda rows: dedup_latest(rows, key)))(several))

@@ -7,12 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 
 from hearsay.operators.clean import flag_bots, standardize
-from hearsay.operators.dedup import dedup_latest
+from hearsay.operators.dedup import dedup_latest, dedup_wide
 from hearsay.scoring.enrich import Scorer, enrich
 from hearsay.scoring.english import default_scorers
 
 # Needed to choose the latest copy of a post.
 DEDUP_COLUMNS = ("id", "load_date", "score")
+#: Columns that make a row too wide to shuffle without need.
+WIDE = {"selftext"}
 
 
 def build_silver(
@@ -21,13 +23,14 @@ def build_silver(
     """Trimmed, flagged, one row per post.
 
     ``columns`` narrows the frame before the shuffle that finds the latest copies; it decides
-    what that shuffle carries.
+    what that shuffle carries. With texts in the frame only posts that come up more than once go through it.
     """
     flagged = bronze.transform(standardize).transform(flag_bots, strict_bots)
     if columns is None:
-        return dedup_latest(flagged)
-    needed = list(dict.fromkeys([*DEDUP_COLUMNS, *columns]))
-    return dedup_latest(flagged.select(*needed)).select(*columns)
+        return dedup_wide(flagged)
+    needed = flagged.select(*dict.fromkeys([*DEDUP_COLUMNS, *columns]))
+    found = dedup_wide(needed) if WIDE & set(columns) else dedup_latest(needed)
+    return found.select(*columns)
 
 
 def build_gold(silver: DataFrame, scorers: Sequence[Scorer] | None = None) -> DataFrame:
