@@ -1,0 +1,93 @@
+"""Rows with texts: only those whose id comes up again are shuffled to find the latest copies."""
+
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from hearsay.operators import dedup
+from hearsay.operators.dedup import dedup_latest, dedup_wide, split_by_ids
+from hearsay.plans.layers import build_silver
+from hearsay.sinks.tables import ensure_namespace, replace_dates
+from hearsay.sources.tables import read_layer
+from hearsay.streaming import posts as streaming
+
+START = datetime(2024, 1, 1)
+
+
+def rows(spark, n=2000, again=50):
+    """Posts with long texts, of which every ``again``-th has two later copies; some without an id."""
+    ids = F.when(F.col("n") % 700 == 3, F.lit(None)).otherwise(F.col("n").cast("string"))
+    copies = F.when(F.col("n") % again == 0, F.array(*map(F.lit, (0, 1, 1)))).otherwise(F.array(F.lit(0)))
+    base = spark.range(n).withColumnRenamed("id", "n").repartition(4)
+    return base.select(
+        ids.alias("id"), F.explode(copies).alias("c"),
+        F.concat_ws(" ", *[F.sha2(F.concat(F.col("n").cast("string"), F.lit(i)), 512) for i in "abcdefgh"]).alias("selftext"),
+    ).withColumns({"load_date": F.lit(START) + F.make_dt_interval(F.col("c")), "score": F.col("c") + 1}).drop("c")
+
+
+def same(a, b):
+    assert a.columns == b.columns
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_the_same_rows_stay(spark):
+    df = rows(spark)
+    same(dedup_wide(df), dedup_latest(df))
+    same(dedup_wide(df.limit(0)), df.limit(0))
+    twice = df.unionByName(df)
+    same(dedup_wide(twice), dedup_latest(twice))
+
+
+def test_the_same_rows_stay_when_the_map_is_full(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "MAP_BITS", 6)
+    df = rows(spark, again=3)
+    free, suspect = split_by_ids(df, dedup.repeated(df))
+    assert free.count() < df.count() / 4 and free.count() + suspect.count() == df.count()
+    same(dedup_wide(df), dedup_latest(df))
+
+
+def posts(spark, **options):
+    return rows(spark, **options).withColumns({
+        "author": F.lit(" a "), "title": F.lit("t"), "created_utc": F.lit(1_700_000_000).cast("long")})
+
+
+def watch(monkeypatch, place, name, seen):
+    real = getattr(place, name)
+
+    def noted(df, *args, **options):
+        seen.append(df.count())
+        return real(df, *args, **options)
+
+    monkeypatch.setattr(place, name, noted)
+
+
+def test_silver_ranks_repeated_posts_only(spark, monkeypatch):
+    seen, raw = [], posts(spark)
+    expected = dedup_latest(raw).count()
+    watch(monkeypatch, dedup, "dedup_latest", seen)
+    assert build_silver(raw).count() == expected
+    assert seen and max(seen) < raw.count() / 4
+
+
+def test_ingest_ranks_repeated_and_held_posts_only(spark, tmp_path, monkeypatch):
+    seen, raw, target = [], posts(spark), f"{tmp_path}/posts"
+    watch(monkeypatch, streaming, "first_in_batch", seen)
+    streaming.append_first(raw.where("id IS NULL OR id <= 500"), target)
+    streaming.append_first(raw, target)
+    streaming.append_first(raw, target)
+    stored = spark.read.parquet(target)
+    per_id = raw.groupBy("id").agg(F.min("score").alias("score"))
+    known = raw.select("id").distinct().where("id IS NOT NULL").count()
+    assert stored.where("id IS NOT NULL").count() == known
+    same(stored.where("id IS NOT NULL").select("id", "score").orderBy("id"), per_id.where("id IS NOT NULL").orderBy("id"))
+    assert seen[0] < raw.count() / 4
+
+
+def test_gathered_dates_are_written_as_they_are(spark, settings):
+    ensure_namespace(spark, settings)
+    days = spark.range(600).select("id", F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 3).cast("int")).alias("post_date"))
+    replace_dates(days, settings, "silver", None)
+    replace_dates(read_layer(spark, settings, "silver"), settings, "gold", None, gathered=True)
+    gold = read_layer(spark, settings, "gold")
+    same(gold.select("id", "post_date"), days)
+    assert len(gold.inputFiles()) == 3
