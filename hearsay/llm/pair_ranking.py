@@ -4,7 +4,8 @@ A pair holds a document labelled good and one labelled bad; the model learns wei
 difference predicts which one is preferred (logistic loss on feature differences). A quantile of
 the training scores, the share of bad labels, becomes the threshold; scores are mapped to 0..1 so
 that this threshold sits at ``CUT``. Features come from the whole text in one Arrow pass without a
-shuffle. The fit uses a bounded sample of labelled rows (``SAMPLE``).
+shuffle. The fit takes every labelled row outside the held-out fold: pairs are drawn in buckets of rows, and
+Spark's own solver sums their gradients in the tasks. Only weights and quantiles reach the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.llm.common import held_out, quoted
+from hearsay.llm.common import held_out, quoted, stored
 
-#: Most labelled rows the fit reads, and preference pairs it draws from them.
-SAMPLE, PAIRS = 8000, 40000
+#: Rows of the rarer label that a bucket aims at, rows it may have in all, and pairs per row of the other label.
+BUCKET, BUCKET_ROWS, PAIRS = 256, 1 << 16, 4
+#: Decimals of the fitted weights, so that the order in which tasks end does not show.
+PLACES = 6
 CUT = 0.3
 SEED = 7
 FEATURES = ("length", "distinct", "squeeze", "upper", "signs", "tails", "top_sign", "top_word",
@@ -76,25 +81,58 @@ def _expand(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z / 4])
 
 
-def fit_pairs(rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 400) -> Ranking:
-    """Fit on feature rows and their labels. Without both labels nothing is preferred: weights
+def fit_pairs(rows: DataFrame) -> Ranking:
+    """Fit on stored rows (doc_id, _good, f). Without both labels nothing is preferred: weights
     stay zero and every score lies above ``CUT``."""
-    width = 2 * len(FEATURES)
-    if not good.any() or good.all():
+    width, good = 2 * len(FEATURES), F.col("_good")
+    one = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"),
+        *[F.percentile_approx(F.when(good, F.col("f")[i]), 0.5, 10000).alias(f"c{i}") for i in range(len(FEATURES))],
+        *[F.stddev_pop(F.when(good, F.col("f")[i])).alias(f"s{i}") for i in range(len(FEATURES))]).first()
+    if one["good"] in (0, one["n"]):
         return Ranking(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(width), -1.0)
-    centre = np.median(rows[good], axis=0)
-    scale = rows[good].std(axis=0) + 1e-3
-    z = _expand((rows - centre) / scale)
+    centre = np.array([one[f"c{i}"] for i in range(len(FEATURES))])
+    scale = np.round([one[f"s{i}"] for i in range(len(FEATURES))], 9) + 1e-3
+    rarer = min(one["good"], one["n"] - one["good"])
+    buckets = max(-(-rarer // BUCKET), -(-one["n"] // BUCKET_ROWS))
+
+    def draw(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending")])
+        z = _expand((_grid(group.column("f")) - centre) / scale)
+        mark = group.column("_good").to_numpy()
+        diff = pairs(z[mark], z[~mark]).reshape(-1, width)
+        sign = np.where(np.arange(len(diff)) % 2, -1.0, 1.0)  # the solver wants both outcomes
+        return pa.table({"label": (sign + 1) / 2, "diff": pa.array(list(diff * sign[:, None]), pa.list_(pa.float64()))})
+
+    drawn = (rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "f"), F.lit(buckets))).groupBy("_bucket")
+             .applyInArrow(draw, "label double, diff array<double>"))
+    solver = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-3, maxIter=100)
+    model = solver.fit(drawn.select("label", array_to_vector("diff").alias("features")))
+    weights = np.round(model.coefficients.toArray(), PLACES)
+    ranking = Ranking(centre, scale, weights, 0.0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ranking.raw(_grid(b.column(0))))], ["raw"])
+
+    share = 1 - one["good"] / one["n"]
+    cut = rows.select("f").mapInArrow(each, "raw double").agg(F.percentile_approx("raw", share, 100000)).first()[0]
+    return Ranking(centre, scale, weights, cut)
+
+
+def pairs(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Differences of drawn pairs: every row of both is in ``PAIRS`` of them or more; none if one is empty."""
+    n = max(len(good), len(bad)) if len(good) and len(bad) else 0
     draw = np.random.default_rng(SEED)
-    diff = (z[draw.choice(np.flatnonzero(good), pairs)] - z[draw.choice(np.flatnonzero(~good), pairs)])
-    weights, first, second = np.zeros(width), np.zeros(width), np.zeros(width)
-    for turn in range(1, rounds + 1):  # Adam on the full set of pairs
-        slope = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
-        step = -(diff * slope[:, None]).mean(0) + 1e-3 * weights
-        first, second = 0.9 * first + 0.1 * step, 0.99 * second + 0.01 * step * step
-        weights -= 0.05 * (first / (1 - 0.9 ** turn)) / (np.sqrt(second / (1 - 0.99 ** turn)) + 1e-8)
-    raw = z @ weights
-    return Ranking(centre, scale, weights, float(np.quantile(raw, 1 - good.mean())))
+    parts = [good[draw.permutation(len(good))[np.arange(n) % len(good)]] - bad[draw.permutation(len(bad))[np.arange(n) % len(bad)]]
+             for _ in range(PAIRS if n else 0)]
+    return np.concatenate(parts) if parts else np.zeros((0, good.shape[1]))
+
+
+def _grid(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Feature rows of a column of lists."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
 def with_features(docs: DataFrame, *keep: str) -> DataFrame:
@@ -110,22 +148,17 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
     return narrow.mapInArrow(each, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Fit on every labelled document outside the held-out fold.
 
-    The sample is the rows with the smallest hashes of their id. Null ids and labels are not
-    used; a label that has no document is skipped.
+    Null ids and labels are not used; a label that has no document is skipped, and repeated rows count
+    once. Texts are not shuffled: their features are joined.
     """
     rows = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
                           & ~held_out(F.col("doc_id")))
-            .select("doc_id", (F.col("quality") == 1).alias("_good")).distinct()
-            .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-            .orderBy(F.xxhash64("doc_id"), "_good").limit(sample))
-    # at most ``sample`` narrow rows, a proven bound for the broadcast
-    found = with_features(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"),
-                          "doc_id", "_good").orderBy(F.xxhash64("doc_id"), F.xxhash64("f")).limit(sample).collect()
-    grid = np.array([r["f"] for r in found]).reshape(-1, len(FEATURES))
-    return fit_pairs(grid, np.array([r["_good"] for r in found], bool))
+            .select("doc_id", (F.col("quality") == 1).alias("_good")).distinct())
+    found = with_features(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id").join(rows, "doc_id").distinct()
+    return fit_pairs(stored(found.select("doc_id", "_good", "f"), "labelled-features"))
 
 
 def scored(docs: DataFrame, model: Ranking, *keep: str) -> DataFrame:
@@ -145,21 +178,21 @@ def scored(docs: DataFrame, model: Ranking, *keep: str) -> DataFrame:
                       F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``.
 
     Nulls, empty and blank texts have all-zero features and are scored like any other; repeated
     rows each get the same score; an empty table gives an empty result. Other columns are ignored,
     and no label, language, source or id is an input of a score.
     """
-    out = scored(docs, fit(docs, labels, sample), "doc_id")
+    out = scored(docs, fit(docs, labels), "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` predicted to be good, with their columns, whatever their names."""
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     plain = docs.select(*[quoted(c).alias(i) for c, i in zip(names, inner)], F.col("text"))
-    kept = scored(plain, fit(docs, labels, sample), *inner).filter("predicted = 1")
+    kept = scored(plain, fit(docs, labels), *inner).filter("predicted = 1")
     return kept.select(*[F.col(i).alias(c) for c, i in zip(names, inner)])
