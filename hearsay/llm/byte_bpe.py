@@ -11,8 +11,9 @@ import array
 import json
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ def _word_rule() -> re.Pattern:
 #: Python breaks lines at 1C to 1F and the library does not; classes are fixed up to U+024F.
 _RARE = re.compile("[^\\x00-\\x1b\\x20-\u024f\u2010-\u2027]")
 _WORD = _word_rule()
+_ID = attrgetter("id")
 #: Words a worker keeps, and the longest of them.
 KEPT, LONGEST = 400_000, 64
 #: Characters of texts that are encoded together.
@@ -60,10 +62,14 @@ class ByteBpe(dict):
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
         self.signs = str.maketrans({chr(b): sign for b, sign in enumerate(byte_signs())})
+        self.space = byte_signs()[ord(" ")]
 
     def __missing__(self, word: str) -> bytes:
-        signs = word.encode("utf-8").decode("latin-1").translate(self.signs)
-        ids = _as_bytes([t.id for t in self.model.tokenize(signs)])
+        if word.isascii() and word.isprintable():  # of these signs only the space has another one
+            signs = word.replace(" ", self.space)
+        else:
+            signs = word.encode("utf-8").decode("latin-1").translate(self.signs)
+        ids = _as_bytes(map(_ID, self.model.tokenize(signs)))
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
                 self.clear()
@@ -77,7 +83,7 @@ class ByteBpe(dict):
         return b"".join(map(self.__getitem__, _WORD.findall(text)))
 
 
-def _as_bytes(ids: list[int]) -> bytes:
+def _as_bytes(ids: Iterable[int]) -> bytes:
     held = array.array("I", ids)
     if sys.byteorder != "little":
         held.byteswap()

@@ -27,6 +27,8 @@ END = 2
 LANES, BLOCK, SEGMENT = 256, 1 << 16, 1 << 20
 #: Frequencies of a table add up to 2**16; a coder's state stays in [2**16, 2**32).
 SCALE = 16
+#: Ids below this are numbered by a table.
+TABLE = 1 << 20
 MAGIC = b"rANS\x01"
 
 
@@ -44,20 +46,21 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(codes: np.ndarray, freq: np.ndarray, low: np.ndarray) -> list[bytes]:
-    """Code equally long rows of symbol numbers; one byte string per row."""
+    """Code equally long rows of symbol numbers; one byte string per row. Tables and states are unsigned
+    32-bit numbers, as no state reaches 2**32."""
     rows, n = codes.shape
     steps = -(-n // LANES)
-    state = np.full((rows, LANES), 1 << SCALE, "u8")
+    state = np.full((rows, LANES), 1 << SCALE, "u4")
     word, used = np.zeros((steps, rows, LANES), "<u2"), np.zeros((steps, rows, LANES), bool)
     for s in range(steps - 1, -1, -1):
         part = codes[:, s * LANES:(s + 1) * LANES]
         wide = part.shape[1]
         x, f = state[:, :wide], freq[part]
-        full = x >= f << np.uint64(SCALE)
-        word[s, :, :wide], used[s, :, :wide] = x & np.uint64(0xFFFF), full
-        x = np.where(full, x >> np.uint64(SCALE), x)
+        full = x >> np.uint32(SCALE) >= f  # x >= f << SCALE, which may not fit
+        word[s, :, :wide], used[s, :, :wide] = x & np.uint32(0xFFFF), full
+        x = np.where(full, x >> np.uint32(SCALE), x)
         q = x // f
-        state[:, :wide] = (q << np.uint64(SCALE)) + (x - q * f) + low[part]
+        state[:, :wide] = (q << np.uint32(SCALE)) + (x - q * f) + low[part]
     heads = state.astype("<u4")
     return [heads[r].tobytes() + word[:, r][used[:, r]].tobytes() for r in range(rows)]
 
@@ -66,19 +69,19 @@ def _decode(blocks: list[bytes], n: int, symbol: np.ndarray, freq: np.ndarray, r
             ) -> np.ndarray:
     """Undo ``_encode`` for blocks of ``n`` ids each; tables are indexed by slot."""
     rows = len(blocks)
-    state = np.stack([np.frombuffer(b, "<u4", LANES) for b in blocks]).astype("u8")
-    words = np.frombuffer(b"".join(b[4 * LANES:] for b in blocks), "<u2").astype("u8")
+    state = np.stack([np.frombuffer(b, "<u4", LANES) for b in blocks])
+    words = np.frombuffer(b"".join(b[4 * LANES:] for b in blocks), "<u2").astype("u4")
     at = np.cumsum([0] + [(len(b) - 4 * LANES) // 2 for b in blocks])[:-1, None]
     out = np.empty((rows, n), "u4")
     for s in range(-(-n // LANES)):
         wide = min(LANES, n - s * LANES)
         x = state[:, :wide]
-        slot = x & np.uint64(0xFFFF)
+        slot = (x & np.uint32(0xFFFF)).astype(np.intp)
         out[:, s * LANES:s * LANES + wide] = symbol[slot]
-        x = freq[slot] * (x >> np.uint64(SCALE)) + rest[slot]
+        x = freq[slot] * (x >> np.uint32(SCALE)) + rest[slot]
         short = x < 1 << SCALE
         count = np.cumsum(short, axis=1)
-        x[short] = (x[short] << np.uint64(SCALE)) | words[(at + count - 1)[short]]
+        x[short] = (x[short] << np.uint32(SCALE)) | words[(at + count - 1)[short]]
         at = at + count[:, -1:]
         state[:, :wide] = x
     if (state != 1 << SCALE).any():
@@ -86,15 +89,25 @@ def _decode(blocks: list[bytes], n: int, symbol: np.ndarray, freq: np.ndarray, r
     return out
 
 
+def _numbers(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of every id in the sorted ``symbols``: by a table, unless far larger ids would make it
+    large."""
+    if not len(symbols) or symbols[-1] >= TABLE:
+        return np.searchsorted(symbols, ids)
+    table = np.zeros(int(symbols[-1]) + 1, np.intp)
+    table[symbols] = np.arange(len(symbols))
+    return table[ids]
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A segment: header, frequency table, checkpoints, blocks."""
     symbols, freq = frequencies(ids)
-    low = np.cumsum(freq) - freq
-    codes = np.searchsorted(symbols, ids)
+    low = np.cumsum(freq, dtype="u4") - freq
+    codes = _numbers(symbols, ids)
     whole = len(ids) // BLOCK
-    blocks = _encode(codes[:whole * BLOCK].reshape(whole, BLOCK), freq.astype("u8"), low.astype("u8")) if whole else []
+    blocks = _encode(codes[:whole * BLOCK].reshape(whole, BLOCK), freq, low) if whole else []
     if len(ids) % BLOCK:
-        blocks += _encode(codes[None, whole * BLOCK:], freq.astype("u8"), low.astype("u8"))
+        blocks += _encode(codes[None, whole * BLOCK:], freq, low)
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes()
                           + (freq - 1).astype("<u2").tobytes())
     points = b"".join(struct.pack("<III", len(b), len(part), zlib.crc32(part.astype("<u4").tobytes()))
@@ -110,10 +123,10 @@ def unpack(data: bytes, only: int | None = None) -> np.ndarray:
     kinds, size, count = struct.unpack_from("<III", data, 5)
     raw = zlib.decompress(data[17:17 + size])
     symbols = np.cumsum(np.frombuffer(raw, "<u4", kinds), dtype="u4")
-    freq = np.frombuffer(raw, "<u2", kinds, 4 * kinds).astype("u8") + np.uint64(1)
-    low = np.cumsum(freq) - freq
+    freq = np.frombuffer(raw, "<u2", kinds, 4 * kinds).astype("u4") + np.uint32(1)
+    low = np.cumsum(freq, dtype="u4") - freq
     owner = np.repeat(np.arange(kinds), freq.astype("i8"))
-    rest = np.arange(len(owner)).astype("u8") - low[owner]
+    rest = np.arange(len(owner), dtype="u4") - low[owner]
     points = [struct.unpack_from("<III", data, 17 + size + 12 * i) for i in range(count)]
     starts = np.cumsum([17 + size + 12 * count] + [p[0] for p in points]).tolist()
     chosen = range(count) if only is None else [only]

@@ -299,3 +299,16 @@ def test_token_counts_of_odd_and_no_rows(odd):
     got = {r["doc_id"]: r for r in trie_counts.token_counts(odd).collect()}
     assert [got[i]["n_tokens"] for i in (0, 1, 2)] == [0, 0, 0] and got[14]["n_pretokens"] == 5000
     assert trie_counts.token_counts(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 70_000, rans_ids.TABLE - 1, rans_ids.TABLE, 2**32 - 1])
+def test_ids_are_numbered_and_coded_in_32_bits(top):
+    ids = np.array([top, 0, top, 5, 0, 0, top // 2] * 12_000, "u4")
+    symbols, freq = rans_ids.frequencies(ids)
+    assert np.array_equal(rans_ids._numbers(symbols, ids), np.searchsorted(symbols, ids))
+    low = np.cumsum(freq, dtype="u4") - freq
+    (block,) = rans_ids._encode(rans_ids._numbers(symbols, ids)[None, :1000], freq, low)
+    owner = np.repeat(np.arange(len(symbols)), freq)
+    got = rans_ids._decode([block], 1000, symbols[owner], freq[owner], np.arange(1 << 16, dtype="u4") - low[owner])
+    assert got.dtype == np.dtype("u4") and np.array_equal(got[0], ids[:1000])
+    assert np.array_equal(rans_ids.unpack(rans_ids.pack(ids)), ids)
