@@ -24,16 +24,17 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``links`` (two long columns ``a`` and ``b``).
 
     ``root`` is the smallest node reachable, itself included. Nodes without links are absent.
-    Self-links and repeated links are harmless; an empty table gives an empty result. Every round is
-    written to the shared folder, which cuts the lineage; only its counts reach the driver. The
+    Self-links and repeated links are harmless; an empty table gives an empty result. The links and every
+    round are written to the shared folder, which cuts the lineage: what ``links`` comes from runs once, and
+    later plans don't hold it. Only counts reach the driver. The
     neighbours of a node with more than ``HUB`` are cut into groups; an aggregate tells the groups which
     neighbour is the smallest.
     """
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     seen = Observation("links")
-    edges = links.filter("a <> b").select(
+    given = stored(links.select("a", "b").observe(seen, F.count_if(F.expr("a <> b")).alias("n")), "links")
+    ends = given.select(F.explode(F.array("a", "b")).alias("node"))
+    edges = given.filter("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(False).alias("loose"))
-    edges = stored(edges.observe(seen, F.count("*").alias("n")), "links")
     for _ in range(max_rounds):
         if not seen.get["n"]:
             break

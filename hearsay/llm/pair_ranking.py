@@ -26,6 +26,8 @@ from hearsay.llm.common import held_out, quoted, stored
 
 #: Rows of the rarer label that a bucket aims at, rows it may have in all, and pairs per row of the other label.
 BUCKET, BUCKET_ROWS, PAIRS = 256, 1 << 16, 4
+#: Buckets that one task of the solver takes, once there are more than the cores can hold.
+TASK_BUCKETS = 64
 #: Decimals of the fitted weights, so that the order in which tasks end does not show.
 PLACES = 6
 CUT = 0.3
@@ -106,6 +108,8 @@ def fit_pairs(rows: DataFrame) -> Ranking:
 
     drawn = (rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "f"), F.lit(buckets))).groupBy("_bucket")
              .applyInArrow(draw, "label double, diff array<double>"))
+    # every round of the solver is a job with a task per partition, so there are no more of them than cores, unless many buckets need them
+    drawn = drawn.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, buckets // TASK_BUCKETS))
     solver = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-3, maxIter=100)
     model = solver.fit(drawn.select("label", array_to_vector("diff").alias("features")))
     weights = np.round(model.coefficients.toArray(), PLACES)

@@ -57,6 +57,20 @@ def test_components_of_hubs_and_many_batches(spark, monkeypatch, hub):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_links_are_computed_once(spark):
+    """What the links come from, such as all comparisons, runs once; nodes with a self-link alone stay."""
+    links, rows = [(i + 1, i) for i in range(40)] + [(77, 77)], spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    found = spark.createDataFrame(links, "a long, b long").mapInArrow(each, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(found).collect()}
+    assert got == plain_roots(links) and rows.value == len(links)
+
+
 @hyp(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
 def test_components_of_any_links(links):
