@@ -6,11 +6,13 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay.functions.filters import post_date
 from hearsay.operators import explore, graph, marts, states as st
+from hearsay.plans import incremental
 from hearsay.plans.incremental import read_kpis, refresh_dates
 from hearsay.plans.layers import build_silver
 from hearsay.scoring.enrich import enrich
-from hearsay.sinks.tables import replace_dates, write_layer
+from hearsay.sinks.tables import ensure_namespace, replace_dates, write_layer
 from hearsay.sources.sample_posts import prose_scorers, sample_posts
 from hearsay.sources.tables import read_layer
 from tests.compare import spark_rows
@@ -189,3 +191,28 @@ def test_a_long_chain_is_one_community(spark):
     edges = spark.range(300).selectExpr("lpad(id, 4, '0') AS a", "lpad(id + 1, 4, '0') AS b", "1L AS shared", "0.5D AS jaccard")
     assert {r["community"] for r in graph.communities(edges).collect()} == {"0000"}
     assert graph.communities(edges.limit(0)).count() == 0
+
+
+def test_bronze_by_date_gives_the_same_and_gathers_only_repeated_posts(spark, settings, sf_dir):
+    """Singles of a bronze that keeps dates apart are written as they are read, without a shuffle."""
+    posts = sample_posts(spark, sf_dir)
+    ensure_namespace(spark, settings)
+    write_layer(posts, settings, "bronze")
+    refresh_dates(spark, settings, None, prose_scorers())
+    plain = spark_rows(read_layer(spark, settings, "gold"))
+    spark.sql(f"DROP TABLE {settings.table('bronze')}")
+    replace_dates(posts.withColumn("post_date", post_date()), settings, "bronze", None)
+    written = []
+    original = incremental.replace_dates
+    incremental.replace_dates = lambda df, s, layer, *a, **k: (written.append((layer, df, k)), original(df, s, layer, *a, **k))
+    try:
+        refresh_dates(spark, settings, None, prose_scorers())
+    finally:
+        incremental.replace_dates = original
+    layer, df, how = written[0]
+    assert layer == "silver" and how == {"gathered": True}
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("Union", 1)
+    assert "REBALANCE" not in above and below.count("REBALANCE") == 1
+    assert spark_rows(read_layer(spark, settings, "gold")) == plain
+    refresh_dates(spark, settings, [date(2024, 1, 4)], prose_scorers())
+    assert spark_rows(read_layer(spark, settings, "gold")) == plain
