@@ -1,4 +1,4 @@
-"""Word-list scorer written entirely in built-in functions.
+"""Word-list scorer: words are counted in batches (``listed``), the rest is built-in functions.
 
 A text is split into lower-case words. Every label owns a list of words; its logit is a bias
 plus ``sharpness`` times the share of matched words that are its own. The softmax over the
@@ -9,13 +9,14 @@ Shares make long and short texts comparable, so whole texts are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import is_blank
+from hearsay.scoring.listed import count_listed
 
 WORD_SEPARATOR = r"[^\p{L}]+"
 CONFIDENCE_PLACES = 6
@@ -40,33 +41,33 @@ class LexiconScorer:
         return sorted({w for words in self.words.values() for w in words})
 
 
-def _only(words: Column, wanted: Collection[str]) -> Column:
-    """The words that are in ``wanted``, repeats included; planned as a hash set lookup."""
-    known = sorted(set(wanted))
-    return F.filter(words, lambda w: w.isin(known))
+COUNTS = "_counts"
 
 
-HITS = "_hits"
+def with_counts(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
+    """Add the number of words the text has of every label of every scorer, one array for all. The text
+    is split once for all scorers, and later steps see only these numbers."""
+    lists = [words for s in scorers for words in s.words.values()]
+    return df.withColumn(COUNTS, count_listed(F.col(text), lists))
 
 
-def with_hits(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
-    """Add the words the text shares with any scorer's vocabulary. The text is split once for
-    all scorers, and later steps see only the matches."""
-    known = {w for s in scorers for w in s.vocabulary}
-    return df.withColumn(HITS, _only(F.split(F.lower(F.col(text)), WORD_SEPARATOR), known))
+def _counts_of(scorers: Sequence[LexiconScorer]) -> list[Column]:
+    """For each scorer its part of the array."""
+    sizes = [len(s.labels) for s in scorers]
+    return [F.slice(COUNTS, 1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)]
 
 
 def score_lexicons(df: DataFrame, scorers: Sequence[LexiconScorer], text: str) -> DataFrame:
     """Add ``<name>``, ``<name>_confidence`` and ``<name>_error`` for every scorer; all three are
     those of a blank text where the text is NULL."""
     keep = df.columns
-    out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), scorers, text)
+    out = with_counts(df.withColumn("_blank", is_blank(F.col(text))), scorers, text)
     out = out.withColumns({
         f"_scored_{s.name}": F.when(
             F.col("_blank"),
             F.struct(F.lit(s.fallback).alias("label"), F.lit(0.0).alias("confidence")),
-        ).otherwise(_scored(s, F.col(HITS)))
-        for s in scorers
+        ).otherwise(_scored(s, counts))
+        for s, counts in zip(scorers, _counts_of(scorers))
     })
     results = []
     for s in scorers:
@@ -87,24 +88,17 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _scored(s: LexiconScorer, hits: Column) -> Column:
+def _scored(s: LexiconScorer, counts: Column) -> Column:
     """Struct of label and confidence."""
     return _bind(
-        _only(hits, s.vocabulary),
-        lambda own: _bind(
-            _counts(s, own),
-            lambda counts: _bind(
-                _logits(s, counts),
-                lambda logits: _bind(F.array_max(logits), lambda top: _best(s, logits, top)),
-            ),
+        counts,
+        lambda counts: _bind(
+            _logits(s, counts),
+            lambda logits: _bind(F.array_max(logits), lambda top: _best(s, logits, top)),
         ),
     )
 
 
-def _counts(s: LexiconScorer, hits: Column) -> Column:
-    return F.array(*[F.size(_only(hits, own)) for own in s.words.values()])
-
-
 def _logits(s: LexiconScorer, counts: Column) -> Column:
     each = [counts[i] for i in range(len(s.labels))]
     matched = F.greatest(sum(each[1:], each[0]), F.lit(1))
@@ -130,13 +124,14 @@ def score_by_value(
     """Add a label and a confidence with the scorer that the value of column ``by`` names, such
     as one word list per language; ``other`` scores the rest, NULL included. All scorers share
     a name. The text is split once, and of the scorers one runs per row."""
-    keep, hits = df.columns, F.col(HITS)
-    out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), [*scorers.values(), other], text)
+    keep, every = df.columns, [*scorers.values(), other]
+    out = with_counts(df.withColumn("_blank", is_blank(F.col(text))), every, text)
+    *counts, others = _counts_of(every)
     scored = F.when(F.col("_blank"), F.struct(
         F.lit(other.fallback).alias("label"), F.lit(0.0).alias("confidence")))
-    for value, s in scorers.items():
-        scored = scored.when(F.col(by) == value, _scored(s, hits))
-    out = out.withColumn("_result", scored.otherwise(_scored(other, hits)))
+    for (value, s), own in zip(scorers.items(), counts):
+        scored = scored.when(F.col(by) == value, _scored(s, own))
+    out = out.withColumn("_result", scored.otherwise(_scored(other, others)))
     return out.select(*keep, F.col("_result.label").alias(other.name),
                       F.col("_result.confidence").alias(f"{other.name}_confidence"))
 
@@ -145,10 +140,9 @@ def score_allowed(df: DataFrame, allowed: str, scorer: LexiconScorer, text: str)
     """Add a label and a confidence, with only the labels in the array column ``allowed`` in the
     running; all of them where it is NULL. An empty list gives the fallback."""
     keep, labels = df.columns, scorer.labels
-    out = with_hits(df.withColumn("_blank", is_blank(F.col(text))), [scorer], text)
+    out = with_counts(df.withColumn("_blank", is_blank(F.col(text))), [scorer], text)
     usable = [F.coalesce(F.array_contains(F.col(allowed), label), F.lit(True)) for label in labels]
-    counts = F.array(*[F.when(u, F.size(_only(F.col(HITS), own))).otherwise(0)
-                       for u, own in zip(usable, scorer.words.values())])
+    counts = F.array(*[F.when(u, F.get(COUNTS, F.lit(i))).otherwise(0) for i, u in enumerate(usable)])
     # no label that is out can win: its logit lies far below any other
     result = _bind(counts, lambda n: _bind(
         F.transform(_logits(scorer, n), lambda x, i: F.when(F.array(*usable)[i], x).otherwise(F.lit(-1e6))),
