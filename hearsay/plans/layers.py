@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hearsay.operators.clean import flag_bots, standardize
 from hearsay.operators.dedup import dedup_latest, dedup_wide
@@ -58,3 +59,18 @@ def label_then_dedup(
         flagged, scorers or default_scorers(), where=where(flagged) if where else None)
     needed = list(dict.fromkeys([*DEDUP_COLUMNS, *columns]))
     return dedup_latest(labelled.select(*needed)).select(*columns)
+
+
+def score_then_dedup(
+    bronze: DataFrame, columns: Sequence[str], score: Callable[[DataFrame], DataFrame], kept: Sequence[str],
+) -> DataFrame:
+    """``score(build_silver(bronze, columns)).select(kept)``, of every post the same copy, with texts read once
+    and never shuffled. ``score`` must add columns row by row; it also gets the copies that lose.
+
+    Copies that tie are ranked by the hash that ``build_silver`` ranks them by, taken while the texts are there.
+    """
+    flagged = bronze.transform(standardize).transform(flag_bots)
+    needed = flagged.select(*dict.fromkeys([*DEDUP_COLUMNS, *columns]))
+    scored = score(needed.withColumn("_tie", F.xxhash64(*needed.columns)))
+    narrow = scored.select(*dict.fromkeys([*DEDUP_COLUMNS, "_tie", *kept]))
+    return dedup_latest(narrow, order=(*DEDUP_COLUMNS[1:], "_tie")).select(*kept)
