@@ -114,8 +114,10 @@ def _staged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_scored(spark: SparkSession, sf: str) -> DataFrame:
-    posts = _silver(spark, sf, "id", "title", "selftext")
-    scored = enrich(posts, [tone_scorer()], keep_errors=True)
+    scored = score_then_dedup(
+        _bronze(spark, sf), ("id", "title", "selftext"),
+        lambda posts: enrich(posts, [tone_scorer()], keep_errors=True),
+        ("id", "tone", "tone_confidence", "tone_error"))
     return scored.select(
         "id", "tone", F.round("tone_confidence", 6).alias("tone_confidence"), "tone_error"
     )

@@ -24,7 +24,7 @@ def test_the_same_copies_are_scored(spark):
     assert sorted(map(repr, out.collect())) == sorted(map(repr, plain.collect())) and out.count() == 41
 
 
-@pytest.mark.parametrize("name", ["subreddit_topics"])
+@pytest.mark.parametrize("name", ["subreddit_topics", "model_scores"])
 def test_texts_are_read_and_dealt_once(spark, sf_dir, name):
     plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = [line for line in plan.splitlines() if "FileScan" in line and "text:string" in line.split("ReadSchema")[-1]]
