@@ -141,12 +141,15 @@ def score_allowed(df: DataFrame, allowed: str, scorer: LexiconScorer, text: str)
     running; all of them where it is NULL. An empty list gives the fallback."""
     keep, labels = df.columns, scorer.labels
     out = with_counts(df.withColumn("_blank", is_blank(F.col(text))), [scorer], text)
-    usable = [F.coalesce(F.array_contains(F.col(allowed), label), F.lit(True)) for label in labels]
-    counts = F.array(*[F.when(u, F.get(COUNTS, F.lit(i))).otherwise(0) for i, u in enumerate(usable)])
+    usable = F.array(*[F.coalesce(F.array_contains(F.col(allowed), label), F.lit(True)) for label in labels])
+
+    def counted(u: Column) -> Column:
+        return F.array(*[F.when(u[i], F.get(COUNTS, F.lit(i))).otherwise(0) for i in range(len(labels))])
+
     # no label that is out can win: its logit lies far below any other
-    result = _bind(counts, lambda n: _bind(
-        F.transform(_logits(scorer, n), lambda x, i: F.when(F.array(*usable)[i], x).otherwise(F.lit(-1e6))),
-        lambda logits: _bind(F.array_max(logits), lambda top: _best(scorer, logits, top))))
+    result = _bind(usable, lambda u: _bind(counted(u), lambda n: _bind(
+        F.transform(_logits(scorer, n), lambda x, i: F.when(u[i], x).otherwise(F.lit(-1e6))),
+        lambda logits: _bind(F.array_max(logits), lambda top: _best(scorer, logits, top)))))
     none = F.struct(F.lit(scorer.fallback).alias("label"), F.lit(0.0).alias("confidence"))
     out = out.withColumn("_result", F.when(
         F.col("_blank") | (F.size(F.coalesce(F.col(allowed), F.array(F.lit("")))) == 0), none).otherwise(result))

@@ -9,6 +9,8 @@ from hearsay.checks.queries import queries
 from hearsay.checks.tone import tone_scorer
 from hearsay.plans.layers import build_silver, score_then_dedup
 from hearsay.scoring.enrich import enrich
+from hearsay.scoring.lexicon import score_allowed
+from hearsay.sources.sample_posts import prose_scorers
 
 
 def test_the_same_copies_are_scored(spark):
@@ -29,3 +31,12 @@ def test_texts_are_read_and_dealt_once(spark, sf_dir, name):
     plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = [line for line in plan.splitlines() if "FileScan" in line and "text:string" in line.split("ReadSchema")[-1]]
     assert len(read) == 1
+
+
+def test_each_allowed_label_is_looked_up_once(spark):
+    scorer = prose_scorers()[2]
+    df = spark.createDataFrame([("this tre sur", ["Gaming"]), ("ist", None), ("", [])], "text string, allowed array<string>")
+    out = score_allowed(df, "allowed", scorer, "text")
+    assert [r["topic"] for r in out.select("topic").limit(1).collect()] == ["Gaming"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_contains(") == len(scorer.labels)
