@@ -1,10 +1,13 @@
-"""Near copies by the share of five-word shingles, exact on candidates from MinHash bands.
+"""Near copies by the share of five-word shingles, exact on candidates from the SimHash trie join.
 
 Texts become sets of shingle hashes; equal sets are one class, so exact copies cost nothing. Each
-class gets ``BANDS`` short fingerprints of ``ROWS`` minima each. Classes that share one are
-candidates: a pair at similarity 0.8 shares none with a chance of 2e-5. All pairs inside a
-connected group of candidates are verified by their exact Jaccard similarity before they link.
-Groups are cut into blocks and compared block by block; tasks return spanning links, never pairs.
+class gets fingerprints, and the trie join of ``simhash_trie`` finds those that differ in at most
+``BUDGET`` bits. One is the SimHash of the set. Bits of SimHash tell pairs at similarity 0.8 badly
+from others (9.7 of 64 differ on average), so there are ``PRINTS`` short ones more, whose bits are
+those of ``MINIMA`` shingles drawn min-wise: a pair at 0.8 meets in none of them with a chance of
+1.4e-5. Each kind of fingerprint has a trie of its own. All pairs inside a connected group of
+candidates are verified by their exact Jaccard similarity before they link. Groups are cut into
+blocks and compared block by block; tasks return spanning links, never pairs.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from hearsay.llm.common import slots, stored
 from hearsay.llm.components import components, merge_labels
-from hearsay.llm.simhash_trie import SEED, keep_first, text_key
+from hearsay.llm.simhash_trie import BITS, SEED, keep_first, majority, text_key, trie_links
 
 WORDS = 5
 #: Least similarity of near copies, as a fraction.
 SHARE = (4, 5)
-BANDS, ROWS = 60, 8
+#: Short fingerprints of a class, shingles drawn for each, and bits taken from each of these.
+PRINTS, MINIMA, TAKEN = 42, 8, 5
+#: Bits in which fingerprints of candidates may differ, and leading bits that tell their kinds apart.
+BUDGET, KIND = 1, 8
+#: Fingerprints below a node that a task walks at once.
+LEAF_ROWS = 1 << 18
 #: Shingles that are multiplied at once, and what a block aims at: bounds a task's arrays.
 CHUNK, BLOCK_ROWS, BLOCK_SHINGLES = 2048, 128, 1 << 16
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 1), "u4") | np.uint32(1)
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (PRINTS * MINIMA, 1), "u4") | np.uint32(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -46,19 +54,21 @@ def shingles(text: str | None) -> np.ndarray:
                                for i, j in zip(starts, (ends[WORDS - 1:] - 1).tolist())], "u8"))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The short fingerprints of a set of shingles, as signed longs; none of the empty set."""
+def prints(found: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set of shingles, as signed longs: kind, then bits; none of the empty set."""
     if not len(found):
-        return []
-    high, least = (found >> np.uint64(32)).astype("u4"), np.full(BANDS * ROWS, 0xFFFFFFFF, "u4")
+        return np.zeros(0, "i8")
+    high, least = (found >> np.uint64(32)).astype("u4"), np.full(PRINTS * MINIMA, 0xFFFFFFFF, "u4")
     for at in range(0, len(high), CHUNK):
         np.minimum(least, (_FACTORS * high[at:at + CHUNK]).min(1), out=least)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, "u8").view("i8").tolist()
+    taken = (least * np.uint32(0x9E3779B1) >> np.uint32(32 - TAKEN)).astype("u8").reshape(PRINTS, MINIMA)
+    ends = BITS - KIND - TAKEN * np.arange(1, MINIMA + 1, dtype="u8")
+    bits = np.append((taken << ends).sum(1, dtype="u8"), np.uint64(majority(found) >> KIND))
+    return (bits | np.arange(PRINTS + 1, dtype="u8") << np.uint64(BITS - KIND)).view("i8")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, key, cls, n, bands) of every row: ``cls`` is a hash of the set of shingles."""
+    """(id, key, cls, n, prints) of every row: ``cls`` is a hash of the set of shingles."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,19 +80,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(cls.view("i8")),
                      pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                    ["id", "key", "cls", "n", "bands"])
+                     pa.array([prints(s) for s in sets], pa.list_(pa.int64()))],
+                    ["id", "key", "cls", "n", "prints"])
 
-    return narrow.mapInArrow(each, "id long, key long, cls long, n long, bands array<long>")
+    return narrow.mapInArrow(each, "id long, key long, cls long, n long, prints array<long>")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, root): classes that share a short fingerprint with another, and their group."""
-    every = classes.select("cls", F.explode("bands").alias("band"))
-    shared = (every.groupBy("band").agg(F.min("cls").alias("b"), F.max("cls").alias("top"))
-              .filter("b <> top").select("band", "b"))
-    return components(every.join(shared, "band").filter("cls <> b")
-                      .select(F.col("cls").alias("a"), "b").distinct())
+    """(node, root): classes with a fingerprint within ``BUDGET`` bits of another's, and their group."""
+    every = classes.select("cls", F.explode("prints").alias("fp"))
+    owners = stored(every.groupBy("fp").agg(F.min("cls").alias("b"), F.max("cls").alias("last")), "prints")
+    equal = (every.join(owners.filter("b <> last").select("fp", "b"), "fp").filter("cls <> b")
+             .select(F.col("cls").alias("a"), "b"))
+    met = stored(trie_links(owners.select("fp"), BUDGET, LEAF_ROWS, KIND).toDF("x", "y"), "print-links")
+    near = (met.join(owners.select(F.col("fp").alias("x"), F.col("b").alias("a")), "x")
+            .join(owners.select(F.col("fp").alias("y"), "b"), "y").select("a", "b"))
+    return components(equal.unionByName(near).filter("a <> b").distinct())
 
 
 def copy_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -170,7 +183,7 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     classes = stored(rows.groupBy("cls").agg(
         F.min("id").alias("least"), F.min(order).alias("first"), F.first("n").alias("n"),
-        F.first("bands").alias("bands")), "copy-classes")
+        F.first("prints").alias("prints")), "copy-classes")
     roots = components(copy_links(docs, classes))
     linked = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root"))

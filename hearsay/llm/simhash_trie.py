@@ -43,6 +43,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         starts = [0, *ends[: len(tokens) - words].tolist()]
         hashes = [digest(joined[i:j], SEED)
                   for i, j in zip(starts, (ends[words - 1:] - 1).tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(BITS, "i8")
     for at in range(0, len(hashes), SLICE):  # bounded memory for very long texts
         part = np.array(hashes[at:at + SLICE], "<u8").view("u1").reshape(-1, 8)
@@ -72,15 +77,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def trie_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 16384) -> DataFrame:
+def trie_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 16384, top: int = 0) -> DataFrame:
     """Links (a, b) that connect exactly the distinct ``fp`` values within ``budget`` bits.
 
     Every pair within the budget ends up connected through reported links, and every reported
-    link joins two values that chains of such pairs connect.
+    link joins two values that chains of such pairs connect. Only values that agree in the first
+    ``top`` bits (a multiple of ``STEP``) are compared: each such prefix has a trie of its own.
     """
-    spark, depth, tasks = fps.sparkSession, 0, []
+    spark, depth, tasks = fps.sparkSession, top, []
     root = F.col("id")  # written, so that the first step is an ordinary join on the node
-    pending = stored(spark.range(1).select(root.alias("pa"), root.alias("pb"), root.cast("int").alias("err")), "trie-root")
+    pending = stored(spark.range(1 << top).select(root.alias("pa"), root.alias("pb"), F.lit(0).alias("err")), "trie-root")
     masks = [(m, m.bit_count()) for m in range(1 << STEP) if m.bit_count() <= budget]
     mask_array = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(c).alias("cost"))
                            for m, c in masks])
@@ -112,7 +118,7 @@ def trie_links(fps: DataFrame, budget: int = 2, leaf_rows: int = 16384) -> DataF
         pending = walked.filter(~small).drop("n")
         if pending.isEmpty():
             break
-    held = [_members(fps, t, d) for d, t in zip(range(STEP, BITS + 1, STEP), tasks)]
+    held = [_members(fps, t, d) for d, t in zip(range(top + STEP, BITS + 1, STEP), tasks)]
     paired = held[0]
     for more in held[1:]:
         paired = paired.unionByName(more)
