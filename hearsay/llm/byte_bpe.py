@@ -37,8 +37,8 @@ def _word_rule() -> re.Pattern:
 _RARE = re.compile("[^\\x00-\\x1b\\x20-\u024f\u2010-\u2027]")
 _WORD = _word_rule()
 _ID = attrgetter("id")
-#: Words a worker keeps, and the longest of them.
-KEPT, LONGEST = 400_000, 64
+#: Words a worker keeps before it starts anew with the last ones at hand, and the longest of them.
+KEPT, LONGEST = 600_000, 64
 #: Characters of texts that are encoded together.
 TOGETHER = 1 << 22
 
@@ -54,6 +54,7 @@ class ByteBpe(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}  # words kept before the worker last started anew
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -65,13 +66,16 @@ class ByteBpe(dict):
         self.space = byte_signs()[ord(" ")]
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():  # of these signs only the space has another one
-            signs = word.replace(" ", self.space)
-        else:
-            signs = word.encode("utf-8").decode("latin-1").translate(self.signs)
-        ids = _as_bytes(map(_ID, self.model.tokenize(signs)))
+        ids = self.before.get(word)
+        if ids is None:
+            if word.isascii() and word.isprintable():  # of these signs only the space has another one
+                signs = word.replace(" ", self.space)
+            else:
+                signs = word.encode("utf-8").decode("latin-1").translate(self.signs)
+            ids = _as_bytes(map(_ID, self.model.tokenize(signs)))
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids

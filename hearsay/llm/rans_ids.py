@@ -55,12 +55,12 @@ def _encode(codes: np.ndarray, freq: np.ndarray, low: np.ndarray) -> list[bytes]
     for s in range(steps - 1, -1, -1):
         part = codes[:, s * LANES:(s + 1) * LANES]
         wide = part.shape[1]
-        x, f = state[:, :wide], freq[part]
+        x, f = state[:, :wide], freq.take(part)
         full = x >> np.uint32(SCALE) >= f  # x >= f << SCALE, which may not fit
         word[s, :, :wide], used[s, :, :wide] = x & np.uint32(0xFFFF), full
         x = np.where(full, x >> np.uint32(SCALE), x)
         q = x // f
-        state[:, :wide] = (q << np.uint32(SCALE)) + (x - q * f) + low[part]
+        state[:, :wide] = (q << np.uint32(SCALE)) + (x - q * f) + low.take(part)
     heads = state.astype("<u4")
     return [heads[r].tobytes() + word[:, r][used[:, r]].tobytes() for r in range(rows)]
 
@@ -71,18 +71,20 @@ def _decode(blocks: list[bytes], n: int, symbol: np.ndarray, freq: np.ndarray, r
     rows = len(blocks)
     state = np.stack([np.frombuffer(b, "<u4", LANES) for b in blocks])
     words = np.frombuffer(b"".join(b[4 * LANES:] for b in blocks), "<u2").astype("u4")
-    at = np.cumsum([0] + [(len(b) - 4 * LANES) // 2 for b in blocks])[:-1, None]
+    at = np.cumsum([0] + [(len(b) - 4 * LANES) // 2 for b in blocks])[:-1]
     out = np.empty((rows, n), "u4")
     for s in range(-(-n // LANES)):
         wide = min(LANES, n - s * LANES)
         x = state[:, :wide]
         slot = (x & np.uint32(0xFFFF)).astype(np.intp)
-        out[:, s * LANES:s * LANES + wide] = symbol[slot]
-        x = freq[slot] * (x >> np.uint32(SCALE)) + rest[slot]
+        out[:, s * LANES:s * LANES + wide] = symbol.take(slot)
+        x = freq.take(slot) * (x >> np.uint32(SCALE)) + rest.take(slot)
         short = x < 1 << SCALE
-        count = np.cumsum(short, axis=1)
-        x[short] = (x[short] << np.uint32(SCALE)) | words[(at + count - 1)[short]]
-        at = at + count[:, -1:]
+        count, flat = short.sum(1), x.reshape(-1)
+        places = np.flatnonzero(short)
+        first = at - (np.cumsum(count) - count)  # next word of a block, less the words of blocks before it
+        flat[places] = (flat[places] << np.uint32(SCALE)) | words.take(np.repeat(first, count) + np.arange(len(places)))
+        at = at + count
         state[:, :wide] = x
     if (state != 1 << SCALE).any():
         raise ValueError("a block does not end in the coder's first state")

@@ -92,6 +92,26 @@ def test_full_word_store_starts_again(library, monkeypatch):
     assert ids_of(own.encode(text)) == library.encode(text, add_special_tokens=False).ids and len(own) <= 5
 
 
+def test_words_of_the_last_generation_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KEPT", 5)
+    own, asked = byte_bpe.ByteBpe(byte_bpe.default_file()), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, signs):
+            asked.append(signs)
+            return self.model.tokenize(signs)
+
+    own.model = Model(own.model)
+    first = {w: own[w] for w in "abcde"}
+    own["f"]  # starts anew
+    assert {w: own[w] for w in "edcb"} == {w: first[w] for w in "edcb"} and asked == list("abcdef")
+    assert len(own) <= 5 and len(own.before) <= 5
+    assert own["g"] and own["a"] == first["a"] and asked == list("abcdefga")  # two generations back: again
+
+
 # -- packing --------------------------------------------------------------------------------
 
 def check_packing(rows, found, size=1024):
