@@ -179,3 +179,11 @@ def confident_posts(
 def sample_rows(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """A few rows to look at, the first by id so that a rerun shows the same ones."""
     return top_rows(df.select("id", *[c for c in columns if c != "id"]), [F.col("id").asc()], k)
+
+
+def rows_of_first(df: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """All rows of the ``k`` smallest keys, null before all others. What chooses one row per key and then takes
+    the first ``k`` by key gives the same from these rows; only the keys are shuffled, and ``k`` of them are collected."""
+    keys = [r[0] for r in top_rows(df.select(key).distinct(), [F.col(key).asc()], k).collect()]
+    chosen = F.col(key).isin([v for v in keys if v is not None])
+    return df.where(chosen | F.col(key).isNull() if None in keys else chosen)
