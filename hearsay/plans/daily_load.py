@@ -15,6 +15,7 @@ from hearsay.config import Settings
 from hearsay.functions.filters import on_day, on_days, safe_only, utc_date
 from hearsay.operators.clean import stamp_load
 from hearsay.operators.topk import top_per_group, top_rows
+from hearsay.session import frees_shuffles
 from hearsay.sinks.tables import (
     DAY_COLUMN, advance_progress, drop_empty_days, ensure_namespace, reset_month, write_day, write_days,
     write_progress,
@@ -43,6 +44,7 @@ def _months_differ(a: date, b: date) -> bool:
     return (a.year, a.month) != (b.year, b.month)
 
 
+@frees_shuffles
 def run_day(
     spark: SparkSession, settings: Settings, root: str, layout: str = "path",
     at: datetime | None = None,
@@ -64,6 +66,7 @@ def run_day(
     return advance_progress(spark, settings, state)
 
 
+@frees_shuffles
 def run_range(
     spark: SparkSession, settings: Settings, root: str, last: date, layout: str = "path",
     at: datetime | None = None,
